@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragmill.llm import lookalikes, packing, tokens
+from ragmill.llm import lookalikes, neardup, packing, tokens
 from ragmill.session import table
 
 
+def _texts(spark, sf_dir):
+    """The texts of vectors and the contents of handler_docs as one table; a key is a table's number beside the row's own."""
+    v, h = table(spark, sf_dir, "vectors"), table(spark, sf_dir, "handler_docs")
+    key = lambda n, c: F.struct(F.lit(n).cast("byte").alias("n"), F.col(c).alias("k")).alias("key")
+    v = v.select(key(1, "item_no"), F.lit("vectors").alias("table_name"), "text")
+    return v.unionByName(h.select(key(2, "rec_no"), F.lit("handler_docs").alias("table_name"), F.col("content").alias("text")))
+
+
+def p1_found(spark, sf_dir):
+    pairs = neardup.near_pairs(_texts(spark, sf_dir), "key", "text", "table_name")
+    return pairs.select(F.col("within").alias("table_name"), F.col("key_a.k").alias("key_a"), F.col("key_b.k").alias("key_b"))
+
+
+def p1_groups(spark, sf_dir):
+    out = neardup.groups(_texts(spark, sf_dir), "key", "text", "table_name")
+    return out.select(F.col("within").alias("table_name"), F.col("key.k").alias("key"), F.col("group_key.k").alias("group_key"), "links")
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -29,5 +47,5 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
 SQL: dict[str, str] = {}
