@@ -5,7 +5,7 @@ records that hold them, counted over all records:
 
 * rare tokens (in at most ``RARE`` records) are indexed singly;
 * frequent tokens are indexed in combinations: under each of ``ORDERS`` sets of global token orders a record's prefix is
-  the five tokens that come first, one more than a combination needs, and all its ``K``-token combinations are indexed, so
+  the six tokens that come first, one more than a combination needs, and all its ``K``-token combinations are indexed, so
   that one edited token of a prefix does no harm;
 * stop tokens (in more than ``STOP_SHARE`` of the records) tell nothing and are left out, unless little else is there.
 
@@ -32,14 +32,15 @@ from ragmill.llm import words
 from ragmill.session import materialise
 
 THRESHOLD = 0.75
-ORDERS, K = 10, 4
+ORDERS, K = 12, 5
 RARE = 8
 STOP_SHARE = 0.2
 #: Tokens in more than this share of the records are known to every task not to be rare.
 KNOWN_SHARE = 0.005
 #: Records with fewer content tokens than the first are indexed with their stop tokens, those with fewer than the second too.
 LEAST, BOTH_BELOW = 16, 28
-PARITY_WORDS = 8
+#: 64-bit words of a record's parities, and the record size from which it also has parities of that width.
+PARITY_LEVELS = ((8, 0), (32, 400), (128, 1_600), (512, 6_400))
 
 
 def visible(texts: pa.Array) -> np.ndarray:
@@ -139,8 +140,7 @@ def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray) -> Da
             lists = _lists([np.concatenate(s) if s else np.zeros(0, np.int64) for s in sigs])
             unknown = ~words.in_sorted(tokens, known)
             rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[unknown], minlength=rows))).astype(np.int32)), pa.array(tokens[unknown].view(np.int64)))
-            bits = words.parity(tokens, row, rows)
-            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, (rows + 1) * PARITY_WORDS, PARITY_WORDS, dtype=np.int32)), pa.array(np.ascontiguousarray(bits).reshape(-1)))
+            parity = _lists(parities(tokens, row, counts))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(counts.astype(np.int32)), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums)], pa.binary()), parity, lists, rare],
                 names=["key", "within", "n", "fp", "parity", "sigs", "rare"],
@@ -149,6 +149,35 @@ def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray) -> Da
     return records.mapInArrow(run, f"key {kind}, within string, n int, fp binary, parity array<bigint>, sigs array<bigint>, rare array<bigint>")
 
 
+def parities(tokens: np.ndarray, row: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Per record its parities at every level that its size reaches, the narrowest first."""
+    out = [np.zeros(0, np.int64)] * len(counts)
+    for width, least in PARITY_LEVELS:
+        big = np.flatnonzero(counts >= least)
+        if not len(big):
+            break
+        place = np.full(len(counts), -1)
+        place[big] = np.arange(len(big))
+        at = place[row]
+        bits = words.parity(tokens[at >= 0], at[at >= 0], len(big), width * 64)
+        for i, b in zip(big, bits):
+            out[i] = np.concatenate([out[i], b])
+    return out
+
+
+def apart(pa_, pb_) -> F.Column:
+    """A lower bound on how many tokens two records differ by, from the widest parities both have."""
+    xor = lambda i: F.bit_count(pa_[i].bitwiseXOR(pb_[i]))
+    narrow = PARITY_LEVELS[0][0]
+    bound, start = sum((xor(i) for i in range(narrow)), F.lit(0)), narrow
+    for width, _ in PARITY_LEVELS[1:]:
+        a, b = F.slice(pa_, start + 1, width), F.slice(pb_, start + 1, width)
+        wide = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        start += width
+        bound = F.when((F.size(pa_) >= start) & (F.size(pb_) >= start), wide).otherwise(bound)
+    return bound
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -197,9 +226,9 @@ class Index:
         side = self.table.select("key", "within", "n", "parity")
         one = side.select(F.col("key").alias("a"), F.col("within").alias("wa"), F.col("n").alias("na"), F.col("parity").alias("pa"))
         two = side.select(F.col("key").alias("b"), F.col("within").alias("wb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-        apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)), F.lit(0))
         most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-        return pairs.join(one, "a").join(two, "b").where((F.col("wa") == F.col("wb")) & (apart <= most)).select("a", "b")
+        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
+        return pairs.join(one, "a").join(two, "b").where((F.col("wa") == F.col("wb")) & sizes & (apart(F.col("pa"), F.col("pb")) <= most)).select("a", "b")
 
     def links(self, threshold: float = THRESHOLD) -> DataFrame:
         """(a, b, similarity): verified pairs of representatives; pairs of copies of one record are not among them."""
