@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragmill.llm import lookalikes, neardup, packing, tokens
+from ragmill.llm import knn, lookalikes, neardup, packing, tokens
 from ragmill.session import table
 
 
@@ -26,6 +26,16 @@ def p1_groups(spark, sf_dir):
     return out.select(F.col("within").alias("table_name"), F.col("key.k").alias("key"), F.col("group_key.k").alias("group_key"), "links")
 
 
+def p6_nearest(spark, sf_dir):
+    found = knn.nearest(table(spark, sf_dir, "vectors"), "item_no", "embedding")
+    return found.select(F.col("key").alias("item_no"), "neighbour", "score", "rank")
+
+
+def p6_found(spark, sf_dir):
+    found = knn.nearest(table(spark, sf_dir, "vectors"), "item_no", "embedding")
+    return knn.mutual(found, 0.90).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
+
+
 def p7_ids(spark, sf_dir):
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -47,5 +57,5 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
 SQL: dict[str, str] = {}
