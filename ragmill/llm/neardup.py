@@ -42,6 +42,9 @@ LEAST, BOTH_BELOW = 16, 28
 #: 64-bit words of a record's parities, and the record size from which it also has parities of that width.
 PARITY_LEVELS = ((8, 0), (32, 400), (128, 1_600), (512, 6_400))
 
+#: Sizes up to this one fit into an entry of the index.
+MOST_SIZE = (1 << 16) - 1
+
 
 def visible(texts: pa.Array) -> np.ndarray:
     """Which texts have anything but white space."""
@@ -211,15 +214,26 @@ class Index:
         spare = self.copies.where("key <> rep").select("key")
         return self.table.join(spare, "key", "left_anti")
 
-    def candidates(self) -> DataFrame:
-        """(a, b): pairs of representatives that share a combination or a rare token, a < b, each once."""
-        reps = self.representatives()
-        combined = reps.select("key", F.explode("sigs").alias("sig"))
-        single = reps.select("key", F.explode("rare").alias("token")).join(self.rare, "token").select("key", F.col("token").alias("sig"))
+    def candidates(self, threshold: float = THRESHOLD) -> DataFrame:
+        """(a, b): pairs of representatives that share a combination or a rare token, a < b, each once.
+
+        An entry carries its record's size and a parity of 48 classes in one number, which rules most pairs out as they meet.
+        """
+        folded = F.lit(0).cast("bigint")
+        for i in range(PARITY_LEVELS[0][0]):
+            folded = folded.bitwiseXOR(F.col("parity")[i])
+        brief = folded.bitwiseAND(F.lit(~MOST_SIZE)).bitwiseOR(F.least("n", F.lit(MOST_SIZE)).cast("bigint"))
+        reps = self.representatives().select("key", "sigs", "rare", brief.alias("brief"))
+        combined = reps.select(F.explode("sigs").alias("sig"), "key", "brief")
+        single = reps.select(F.explode("rare").alias("sig"), "key", "brief").join(self.rare.withColumnRenamed("token", "sig"), "sig", "left_semi")
         entries = combined.unionByName(single)
-        a = entries.select("sig", F.col("key").alias("a"))
-        b = entries.select("sig", F.col("key").alias("b"))
-        return a.join(b, "sig").where("a < b").select("a", "b").distinct()
+        a = entries.select("sig", F.col("key").alias("a"), F.col("brief").alias("x"))
+        b = entries.select("sig", F.col("key").alias("b"), F.col("brief").alias("y"))
+        x, y = F.col("x").bitwiseAND(F.lit(MOST_SIZE)), F.col("y").bitwiseAND(F.lit(MOST_SIZE))
+        differ = F.bit_count(F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), 16))
+        near = (F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6) & (differ <= (x + y) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+        unknown = F.greatest(x, y) == MOST_SIZE
+        return a.join(b, "sig").where((F.col("a") < F.col("b")) & (unknown | near)).select("a", "b").distinct()
 
     def near(self, pairs: DataFrame, threshold: float) -> DataFrame:
         """Keep pairs that the parities do not rule out: |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)."""
@@ -232,7 +246,7 @@ class Index:
 
     def links(self, threshold: float = THRESHOLD) -> DataFrame:
         """(a, b, similarity): verified pairs of representatives; pairs of copies of one record are not among them."""
-        pairs = materialise(self.near(self.candidates(), threshold), "candidates")
+        pairs = materialise(self.near(self.candidates(threshold), threshold), "candidates")
         texts = self.records.select("key", "text")
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return verified(both, threshold)
