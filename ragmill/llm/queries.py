@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragmill.llm import knn, lookalikes, neardup, packing, tokens
+from ragmill.llm import boilerplate, knn, lookalikes, neardup, packing, splitting, tokens
 from ragmill.session import table
 
 
@@ -26,6 +26,26 @@ def p1_groups(spark, sf_dir):
     return out.select(F.col("within").alias("table_name"), F.col("key.k").alias("key"), F.col("group_key.k").alias("group_key"), "links")
 
 
+def p3_found(spark, sf_dir):
+    found = boilerplate.found_lines(table(spark, sf_dir, "handler_docs"), table(spark, sf_dir, "files"), "rec_no", "content")
+    return found.select(F.col("key").alias("rec_no"), "line_no")
+
+
+def p3_cleaned(spark, sf_dir):
+    out = boilerplate.cleaned(table(spark, sf_dir, "handler_docs"), table(spark, sf_dir, "files"), "rec_no", "content")
+    return out.select(F.col("key").alias("rec_no"), "content")
+
+
+def p4_pieces(spark, sf_dir):
+    out = splitting.split_records(table(spark, sf_dir, "handler_docs"), table(spark, sf_dir, "chunk_options"), "rec_no", "content")
+    return out.withColumnRenamed("key", "rec_no")
+
+
+def p4_found(spark, sf_dir):
+    out = splitting.split_records(table(spark, sf_dir, "handler_docs"), table(spark, sf_dir, "chunk_options"), "rec_no", "content", only_oversized=True)
+    return out.where("piece_no = 0").select(F.col("key").alias("rec_no"), "kind")
+
+
 def p6_nearest(spark, sf_dir):
     found = knn.nearest(table(spark, sf_dir, "vectors"), "item_no", "embedding")
     return found.select(F.col("key").alias("item_no"), "neighbour", "score", "rank")
@@ -57,5 +77,5 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_cleaned, p4_pieces, p4_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
 SQL: dict[str, str] = {}
