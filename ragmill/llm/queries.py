@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragmill.llm import boilerplate, knn, lookalikes, neardup, packing, splitting, tokens
+from ragmill.llm import boilerplate, knn, lookalikes, neardup, packing, pages, splitting, tokens
 from ragmill.session import table
 
 
@@ -26,6 +26,14 @@ def p1_groups(spark, sf_dir):
     return out.select(F.col("within").alias("table_name"), F.col("key.k").alias("key"), F.col("group_key.k").alias("group_key"), "links")
 
 
+def p2_found(spark, sf_dir):
+    return pages.found_lines(table(spark, sf_dir, "handler_docs"), "rec_no").withColumnRenamed("key", "rec_no")
+
+
+def p2_text(spark, sf_dir):
+    return pages.paragraphs(table(spark, sf_dir, "handler_docs"), "rec_no").withColumnRenamed("key", "rec_no")
+
+
 def p3_found(spark, sf_dir):
     found = boilerplate.found_lines(table(spark, sf_dir, "handler_docs"), table(spark, sf_dir, "files"), "rec_no", "content")
     return found.select(F.col("key").alias("rec_no"), "line_no")
@@ -77,5 +85,5 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_cleaned, p4_pieces, p4_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
 SQL: dict[str, str] = {}
