@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragmill.llm import boilerplate, knn, lookalikes, neardup, packing, pages, splitting, tokens
+from ragmill.llm import boilerplate, history, knn, lookalikes, neardup, packing, pages, splitting, tokens
 from ragmill.session import table
 
 
@@ -54,6 +54,10 @@ def p4_found(spark, sf_dir):
     return out.where("piece_no = 0").select(F.col("key").alias("rec_no"), "kind")
 
 
+def p5_found(spark, sf_dir):
+    return history.repeats(table(spark, sf_dir, "vectors"), table(spark, sf_dir, "incoming_items"), "item_no", "in_no", "batch_no")
+
+
 def p6_nearest(spark, sf_dir):
     found = knn.nearest(table(spark, sf_dir, "vectors"), "item_no", "embedding")
     return found.select(F.col("key").alias("item_no"), "neighbour", "score", "rank")
@@ -85,5 +89,5 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p5_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
 SQL: dict[str, str] = {}
