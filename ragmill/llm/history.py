@@ -26,6 +26,8 @@ from ragmill.session import materialise, scratch_path
 TREES, DEPTH = 30, 7
 #: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each.
 HEAD = 3
+#: Rows of a batch whose sizes and parities (some 150 bytes each) are sent to every task.
+SMALL_BATCH = 250_000
 #: Expected share of the texts at the threshold that a search finds.
 RECALL = 0.999
 
@@ -166,11 +168,17 @@ def prefix_pairs(a: DataFrame, b: DataFrame, threshold: float, recall: float) ->
 
 
 def near(pairs: DataFrame, meta_a: DataFrame, meta_b: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs that sizes and parities leave, deepest agreement first within a task."""
+    """(a, b): pairs that sizes and parities leave, deepest agreement first within a task.
+
+    Side a is a batch: while it is small (its rows are counted) its parities go to where the pairs are, so that the many
+    pairs move with nothing but their keys; beyond that they are joined by key.
+    """
     one = meta_a.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
     two = meta_b.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    if meta_a.count() <= SMALL_BATCH:
+        one = F.broadcast(one)
     most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    left = pairs.join(one, "a").join(two, "b").where(apart(F.col("pa"), F.col("pb")) <= most)
+    left = pairs.join(two, "b").join(one, "a").where(apart(F.col("pa"), F.col("pb")) <= most)
     return left.select("a", "b", "depth").sortWithinPartitions(F.desc("depth")).select("a", "b")
 
 
