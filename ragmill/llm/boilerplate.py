@@ -32,7 +32,7 @@ IGNORED = re.compile(r"[\d\s]+")
 def site_of(name: Column) -> Column:
     """The host at the head of a file name, or null. A bare name such as ``scan_1.pdf`` has none: what follows a host is a
     slash of either kind, or nothing after a scheme or a port."""
-    plain = F.lower(F.regexp_replace(name, r"^[\s ﻿]+|[\s ﻿]+$", ""))
+    plain = F.lower(F.regexp_replace(name, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", ""))
     host = r"(?:www\.)?([\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+)\.?"
     found = F.coalesce(
         F.nullif(F.regexp_extract(plain, r"^[a-z][a-z0-9+.-]*:[/\\]{2}" + host + r"(?::\d*)?(?=[/\\?#]|$)", 1), F.lit("")),

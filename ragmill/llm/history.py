@@ -191,7 +191,7 @@ def similar(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, threshold:
 
 def plain_id(column: Column) -> Column:
     """An id without case and surrounding white space; null if nothing is left."""
-    space = r"[\s\p{Z}​﻿\x1c-\x1f\x85]"
+    space = r"[\s\p{Z}\u200B\uFEFF\x1c-\x1f\x85]"
     return F.nullif(F.lower(F.regexp_replace(column, f"^{space}+|{space}+$", "")), F.lit(""))
 
 

@@ -30,8 +30,8 @@ SAME_SHAPE = [
     ("ΓΠΦ", "ГПФ"),  # Greek capitals that only Cyrillic shares
 ]
 # Characters other than format characters and variation selectors that show nothing.
-SHOW_NOTHING = "͏ᅟᅠ឴឵ㅤﾠ"
-JOINER = "‍"
+SHOW_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+JOINER = "\u200d"
 
 
 @functools.lru_cache(maxsize=1)
@@ -63,7 +63,7 @@ def _joins_pictographs(text: str) -> str:
     out = []
     for i, char in enumerate(text):
         if char == JOINER:
-            before = text[:i].rstrip("️" + JOINER)[-1:]
+            before = text[:i].rstrip("\ufe0f" + JOINER)[-1:]
             after = text[i + 1 : i + 2]
             if not (before and after and unicodedata.category(before) in ("So", "Sk") and unicodedata.category(after) in ("So", "Sk")):
                 continue
