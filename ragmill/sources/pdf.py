@@ -1,0 +1,62 @@
+"""A small PDF text extractor for files with plain or deflated content streams; richer parsers plug in beside it."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d*\.?\d+|\[|\]|[A-Za-z'\"*]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def extract_pages(data: bytes) -> list[str]:
+    """The text of each page, in page order; a file that is not a PDF raises."""
+    if b"%PDF" not in data[:1024]:
+        raise ValueError("not a PDF file")
+    objects = {int(m.group(1)): m.group(2) for m in _OBJECT.finditer(data)}
+    pages = [o for o in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", o)]
+    return ["\n".join(filter(None, (_shown(_content(objects.get(n, b""))) for n in _contents(page)))) for page in pages]
+
+
+def _contents(page: bytes) -> list[int]:
+    m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+    return [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", m.group(1))] if m else []
+
+
+def _content(obj: bytes) -> bytes:
+    m = _STREAM.search(obj)
+    if not m:
+        return b""
+    return zlib.decompressobj().decompress(m.group(1)) if b"/FlateDecode" in obj[: m.start()] else m.group(1)
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1).isdigit() else _ESCAPES.get(m.group(1), m.group(1)), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+
+
+def _shown(stream: bytes) -> str:
+    """The strings that text operators show; operators that move to a new line start one."""
+    out: list[str] = []
+    held: list[str] = []
+    moved: list[bytes] = []
+    for m in _SHOWN.finditer(stream):
+        token = m.group()
+        if token[:1] in b"(<":
+            held.append(_string(token))
+        elif token in (b"Tj", b"TJ", b"'", b'"'):
+            if token in (b"'", b'"'):
+                out.append("\n")
+            out.extend(held)
+            held = []
+        elif token in (b"T*", b"Td", b"TD", b"Tm", b"ET"):
+            if token != b"Td" or not moved or float(moved[-1]) != 0:
+                out.append("\n")
+            held = []
+        moved = [*moved[-1:], token] if re.fullmatch(rb"-?\d*\.?\d+", token) else []
+    return re.sub(r"\n{2,}", "\n", "".join(out)).strip("\n")
