@@ -6,6 +6,8 @@ and U+2029 only. Both classes are written out, because Java's differ.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,26 +36,38 @@ REPEATED_LINE = rf"{BOL}({DOT}+)(?:\n\1)+{EOL}"
 ENDS = f"^{S}+|{S}+$"
 
 
+def _where(text: Column, test: Callable[[Column], Column], stage: Callable[[Column], Column]) -> Column:
+    """``stage`` where a cheap test finds that it may have something to do. The text is computed once: the lambda's argument
+    is the only place that names it."""
+    return F.transform(F.array(text), lambda t: F.when(test(t), stage(t)).otherwise(t)).getItem(0)
+
+
+def _replace(pattern: str, to: str = "") -> Callable[[Column], Column]:
+    return lambda t: F.regexp_replace(t, pattern, to)
+
+
 def remove_page_numbers(text: Column) -> Column:
-    for pattern in PAGE_NUMBERS:
-        text = F.regexp_replace(text, pattern, "")
+    starts = lambda chars: lambda t: t.rlike(f"(?:^|[{LT}]){S}*[{chars}]")
+    tests = (lambda t: F.lower(t).contains("page"), starts("0-9"), starts("-–—"), starts("-–—"))
+    for test, pattern in zip(tests, PAGE_NUMBERS):
+        text = _where(text, test, _replace(pattern))
     return text
 
 
 def clean_toc_leaders(text: Column) -> Column:
-    return F.regexp_replace(text, TOC_LEADERS, "")
+    return _where(text, lambda t: t.rlike(rf"\.{{3}}|·{{2}}|{DASHES}{{2}}"), _replace(TOC_LEADERS))
 
 
 def clean_numbered_toc(text: Column) -> Column:
-    return F.regexp_replace(text, NUMBERED_TOC, "$1")
+    return _where(text, lambda t: t.contains("..."), _replace(NUMBERED_TOC, "$1"))
 
 
 def remove_leader_dot_lines(text: Column) -> Column:
-    return F.regexp_replace(text, LEADER_DOTS, "")
+    return _where(text, lambda t: t.contains("..."), _replace(LEADER_DOTS))
 
 
 def remove_headers_footers(text: Column) -> Column:
-    return F.regexp_replace(text, HEADERS, "")
+    return _where(text, lambda t: t.rlike("(?i)Company Name|Document Title|Confidential"), _replace(HEADERS))
 
 
 def fix_line_breaks(text: Column) -> Column:
@@ -65,11 +79,12 @@ def normalize_paragraphs(text: Column) -> Column:
 
 
 def remove_duplicate_lines(text: Column) -> Column:
-    return F.regexp_replace(text, REPEATED_LINE, "$1")
+    return _where(text, lambda t: t.contains("\n"), _replace(REPEATED_LINE, "$1"))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
+    at_end = lambda t: F.substring(t, 1, 1).rlike(S) | F.substring(t, -1, 1).rlike(S)
+    return _where(text, at_end, _replace(ENDS))
 
 
 def merge_repeats(text: str) -> str:

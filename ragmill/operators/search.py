@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ragmill.functions.vectors import distance, distances
 
@@ -31,7 +32,8 @@ def similar_batch(collection: DataFrame, questions: DataFrame, k: int, metric: s
     schema = f"qid {kinds['qid']}, id {kinds['id']}, score double"
     rows = collection.select(F.col(id_).alias("id"), F.col(vector).alias("v")).where("v is not null")
     asked = questions.select(F.col(qid).alias("qid"), F.col(qvector).alias("v")).where("v is not null")
-    parts = [_scan(rows, block, k, metric, schema) for block in _blocks(asked)]
+    qtype = to_arrow_type(asked.schema["qid"].dataType)
+    parts = [_scan(rows, block, k, metric, schema, qtype) for block in _blocks(asked)]
     if not parts:
         return collection.sparkSession.createDataFrame([], schema + ", rank int")
     found = parts[0]
@@ -52,7 +54,7 @@ def _blocks(asked: DataFrame) -> Iterator[pa.Table]:
         yield held
 
 
-def _scan(rows: DataFrame, block: list[tuple], k: int, metric: str, schema: str) -> DataFrame:
+def _scan(rows: DataFrame, block: list[tuple], k: int, metric: str, schema: str, qtype: pa.DataType) -> DataFrame:
     by_dim: dict[int, tuple[list, list]] = {}
     for q, v in block:
         if None not in v:
@@ -82,7 +84,6 @@ def _scan(rows: DataFrame, block: list[tuple], k: int, metric: str, schema: str)
             asking = held.value[dim][0]
             ok = np.isfinite(score)
             qids = np.repeat(np.array(asking, dtype=object), ok.sum(axis=1))
-            qtype = pa.scalar(asking[0]).type
             yield pa.RecordBatch.from_arrays([pa.array(qids.tolist(), qtype), pa.array(names[ok].tolist(), kind), pa.array(score[ok])], names=["qid", "id", "score"])
 
     return rows.mapInArrow(run, schema)
