@@ -90,4 +90,32 @@ def p9_found(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p5_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
-SQL: dict[str, str] = {}
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SQL: dict[str, str] = {
+    "p1_found": rf"""
+        WITH x AS (SELECT 'vectors' AS t, item_no AS k, text FROM vectors UNION ALL SELECT 'handler_docs', rec_no, content FROM handler_docs),
+        v AS (SELECT * FROM x WHERE regexp_replace(text, '{_BLANK}+', '', 'g') <> ''),
+        w AS (SELECT t, k, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM v),
+        o AS (SELECT t, k, w, row_number() OVER (PARTITION BY t, k, w) AS i FROM w),
+        n AS (SELECT t, k, count(*) AS n FROM o GROUP BY t, k),
+        c AS (SELECT a.t, a.k AS ka, b.k AS kb, count(*) AS c FROM o a JOIN o b ON a.t = b.t AND a.w = b.w AND a.i = b.i AND a.k < b.k GROUP BY ALL)
+        SELECT c.t AS table_name, ka AS key_a, kb AS key_b FROM c JOIN n a ON a.t = c.t AND a.k = ka JOIN n b ON b.t = c.t AND b.k = kb WHERE 4 * c >= 3 * (a.n + b.n - c)
+        UNION SELECT a.t, a.k, b.k FROM v a JOIN v b ON a.t = b.t AND a.text = b.text AND a.k < b.k""",
+    "p3_found": rf"""
+        WITH f AS (SELECT file_no, regexp_extract(lower(replace(originalname, chr(92), '/')), '^(?:[a-z]+://)?(?:www\.)?([a-z0-9-]+(?:\.[a-z0-9-]+)+)(?::[0-9]+)?/', 1) AS site FROM files),
+        r AS (SELECT rec_no, site, content FROM handler_docs JOIN f USING (file_no) WHERE site <> ''),
+        n AS (SELECT site, count(*) AS n FROM r GROUP BY site),
+        l AS (SELECT rec_no, site, unnest(s) AS line, generate_subscripts(s, 1) AS line_no FROM (SELECT rec_no, site, string_split(content, chr(10)) AS s FROM r)),
+        k AS (SELECT rec_no, site, CAST(line_no AS INT) AS line_no, lower(regexp_replace(line, '(?:{_BLANK}|\p{{Nd}})+', '', 'g')) AS key FROM l),
+        c AS (SELECT site, key, count(DISTINCT rec_no) AS c FROM k WHERE key <> '' GROUP BY site, key)
+        SELECT rec_no, line_no FROM k JOIN c USING (site, key) JOIN n USING (site) WHERE c >= 8 AND 5 * c >= n""",
+    "p4_found": rf"""
+        WITH r AS (SELECT rec_no, content, coalesce("chunkSize", 1000) AS size, coalesce(overlap, 0) AS overlap FROM handler_docs LEFT JOIN chunk_options USING (opt_no))
+        SELECT rec_no, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '{_BLANK}+'), lambda x: len(x))) > size THEN 'forced' ELSE 'natural' END AS kind
+        FROM r WHERE size >= 1 AND overlap >= 0 AND overlap < size AND len(content) > size""",
+    "p6_found": """
+        WITH e AS (SELECT item_no, embedding::DOUBLE[] AS v FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.item_no AS a, b.item_no AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM e a JOIN e b ON a.item_no <> b.item_no),
+        r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS i FROM s)
+        SELECT x.a AS item_a, x.b AS item_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.i <= 10 AND y.i <= 10 AND x.a < x.b AND x.c >= 0.9""",
+}
