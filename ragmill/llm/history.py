@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import words
-from ragmill.llm.neardup import BOTH_BELOW, LEAST, STOP_SHARE, THRESHOLD, _lists, _sliced, _sorted_tokens, apart, parities, token_shares, verified
+from ragmill.llm.neardup import BOTH_BELOW, LEAST, THRESHOLD, _lists, _sliced, _sorted_tokens, apart, parities, token_shares, verified
 from ragmill.session import materialise, scratch_path
 
 TREES, DEPTH = 30, 7
+#: Tokens in more than this share of the history are left out of labels, unless little else is there.
+STOP_SHARE = 0.2
 #: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each.
 HEAD = 3
 #: Rows of a batch whose sizes and parities (some 150 bytes each) are sent to every task.

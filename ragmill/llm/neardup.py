@@ -34,7 +34,7 @@ from ragmill.session import materialise
 THRESHOLD = 0.75
 ORDERS, K = 12, 5
 RARE = 8
-STOP_SHARE = 0.2
+STOP_SHARE = 0.3
 #: Tokens in more than this share of the records are known to every task not to be rare.
 KNOWN_SHARE = 0.005
 #: Records with fewer content tokens than the first are indexed with their stop tokens, those with fewer than the second too.
