@@ -9,21 +9,24 @@ from ragmill.session import table
 
 
 def _texts(spark, sf_dir):
-    """The texts of vectors and the contents of handler_docs as one table; a key is a table's number beside the row's own."""
+    """The texts of vectors and the contents of handler_docs as one table; keys of the first are even, of the second odd."""
     v, h = table(spark, sf_dir, "vectors"), table(spark, sf_dir, "handler_docs")
-    key = lambda n, c: F.struct(F.lit(n).cast("byte").alias("n"), F.col(c).alias("k")).alias("key")
-    v = v.select(key(1, "item_no"), F.lit("vectors").alias("table_name"), "text")
-    return v.unionByName(h.select(key(2, "rec_no"), F.lit("handler_docs").alias("table_name"), F.col("content").alias("text")))
+    v = v.select((F.col("item_no") * 2).alias("key"), F.lit("vectors").alias("table_name"), "text")
+    return v.unionByName(h.select((F.col("rec_no") * 2 + 1).alias("key"), F.lit("handler_docs").alias("table_name"), F.col("content").alias("text")))
+
+
+def _own_key(column):
+    return F.shiftright(column, 1)
 
 
 def p1_found(spark, sf_dir):
     pairs = neardup.near_pairs(_texts(spark, sf_dir), "key", "text", "table_name")
-    return pairs.select(F.col("within").alias("table_name"), F.col("key_a.k").alias("key_a"), F.col("key_b.k").alias("key_b"))
+    return pairs.select(F.col("within").alias("table_name"), _own_key("key_a").alias("key_a"), _own_key("key_b").alias("key_b"))
 
 
 def p1_groups(spark, sf_dir):
     out = neardup.groups(_texts(spark, sf_dir), "key", "text", "table_name")
-    return out.select(F.col("within").alias("table_name"), F.col("key.k").alias("key"), F.col("group_key.k").alias("group_key"), "links")
+    return out.select(F.col("within").alias("table_name"), _own_key("key").alias("key"), _own_key("group_key").alias("group_key"), "links")
 
 
 def p2_found(spark, sf_dir):
