@@ -25,7 +25,7 @@ from ragmill.session import materialise, scratch_path
 
 TREES, DEPTH = 30, 7
 #: Tokens in more than this share of the history are left out of labels, unless little else is there.
-STOP_SHARE = 0.2
+STOP_SHARE = 0.3
 #: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each.
 HEAD = 3
 #: Rows of a batch whose sizes and parities (some 150 bytes each) are sent to every task.
@@ -52,7 +52,7 @@ def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
         hashes = words.WordHashes()
         for part, texts, salts in _sliced(batches):
             rows = len(texts)
-            tokens, row, counts = words.multiset(texts, salts * np.uint64(0), hashes)
+            tokens, row, counts = words.multiset(texts, salts, hashes)
             sums = [np.zeros(rows, dtype=np.uint64) for _ in range(2)]
             with np.errstate(over="ignore"):
                 for i, s in enumerate(sums):
