@@ -61,7 +61,8 @@ class Engine:
         embedded = embed_column(chunks, "content", self.embedder)
         # Written before use: a random id would change if its row were computed again.
         items = materialise(embedded.select("id", F.col("content").alias("text"), "metadata", "embedding"), "items")
-        log.info("embedded %d chunks", items.count())
+        made = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+        log.info("embedded %d chunks, dimension %d", made["n"], made["dim"] or 0)
         self.store.upsert(items)
         return items
 

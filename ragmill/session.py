@@ -48,7 +48,21 @@ _LOCAL: str | None = None
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run's intermediate table; no two calls share one."""
-    return f"{shared_dir(spark)}/ragmill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ragmill-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written so far; call it when results that need them are stored."""
+    removed = 0
+    while _SCRATCH:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        removed += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return removed
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -63,10 +63,10 @@ class VectorStore:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
 
     def search(self, query: list[float], k: int, metric: str = "sqeuclidean") -> DataFrame:
-        """(id, content, metadata, score, rank). Texts join the k hits only."""
+        """(id, content, metadata, score, rank). The k hits, and no more, go to where the texts are."""
         rows = self.get()
         top = search.similar(rows, query, k, metric)
-        found = top.join(rows.select("id", F.col("text").alias("content"), "metadata"), "id")
+        found = rows.select("id", F.col("text").alias("content"), "metadata").join(F.broadcast(top), "id")
         return search.as_results(found).select("id", "content", "metadata", "score", "rank")
 
     def search_batch(self, questions: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFrame:

@@ -181,3 +181,12 @@ def test_stream(spark, tmp_path):
             (tmp_path / "in" / "b.txt").write_text(text)
         stream_folder(engine, f"file://{tmp_path}/in", f"file://{tmp_path}/cp").awaitTermination(60)
     assert sorted(r.text for r in engine.store.get().collect()) == ["hello there", "second file"]
+
+
+def test_scratch_tables_are_removed(spark):
+    from ragmill.session import clear_scratch, materialise, scratch_path
+
+    clear_scratch(spark)
+    df = materialise(spark.range(3), "numbers")
+    assert df.count() == 3 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
