@@ -23,11 +23,12 @@ from ragmill.llm import words
 from ragmill.llm.neardup import BOTH_BELOW, LEAST, THRESHOLD, _lists, _sliced, _sorted_tokens, apart, parities, token_shares, verified
 from ragmill.session import materialise, scratch_path
 
-TREES, DEPTH = 30, 7
+TREES, DEPTH = 30, 6
 #: Tokens in more than this share of the history are left out of labels, unless little else is there.
 STOP_SHARE = 0.3
-#: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each.
-HEAD = 3
+#: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each, whose last
+#: 16 bits are the text's size.
+HEAD, MOST_SIZE = 3, (1 << 16) - 1
 #: Rows of a batch whose sizes and parities (some 150 bytes each) are sent to every task.
 SMALL_BATCH = 250_000
 #: Expected share of the texts at the threshold that a search finds.
@@ -70,6 +71,7 @@ def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
                     rest = np.zeros(head.shape, dtype=np.uint64)
                     for d in range(HEAD, DEPTH):
                         rest = (rest << np.uint64(16)) | (words.mix(first[:, :, d]) >> np.uint64(48))
+                    rest = (rest << np.uint64(16)) | np.minimum(counts[present], MOST_SIZE).astype(np.uint64)[:, None]
                 both = np.stack([head, rest], axis=2).reshape(len(present), -1).view(np.int64)
                 for i, b in zip(present, both):
                     heads[i].append(b)
@@ -82,9 +84,9 @@ def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
 
 
 def entries(labelled: DataFrame) -> DataFrame:
-    """(head, rest, key, n): one row per tree."""
+    """(head, rest, key): one row per tree."""
     pair = F.posexplode(F.filter("labels", lambda _, i: i % 2 == 0)).alias("i", "head")
-    return labelled.select("key", "n", "labels", pair).select("head", F.col("labels")[F.col("i") * 2 + 1].alias("rest"), "key", "n")
+    return labelled.select("key", "labels", pair).select("head", F.col("labels")[F.col("i") * 2 + 1].alias("rest"), "key")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -157,14 +159,14 @@ class Forest:
 def prefix_pairs(a: DataFrame, b: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(a, b, depth): keys of entries on both sides that agree on a prefix long enough, with the deepest agreement."""
     depth = prefix_depth(TREES, threshold, recall)
-    x = a.select("head", F.col("rest").alias("ra"), F.col("key").alias("a"), F.col("n").alias("na"))
-    y = b.select("head", F.col("rest").alias("rb"), F.col("key").alias("b"), F.col("n").alias("nb"))
+    x = a.select("head", F.col("rest").alias("ra"), F.col("key").alias("a"))
+    y = b.select("head", F.col("rest").alias("rb"), F.col("key").alias("b"))
     differ = F.col("ra").bitwiseXOR(F.col("rb"))
     agree = F.lit(HEAD)
     for d in range(HEAD + 1, DEPTH + 1):
-        shift = 16 * (DEPTH - d)
-        agree = F.when((F.shiftrightunsigned(differ, shift) if shift else differ) == 0, d).otherwise(agree)
-    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
+        agree = F.when(F.shiftrightunsigned(differ, 16 * (DEPTH - d) + 16) == 0, d).otherwise(agree)
+    na, nb = (F.col(c).bitwiseAND(F.lit(MOST_SIZE)) for c in ("ra", "rb"))
+    sizes = (F.greatest(na, nb) == MOST_SIZE) | (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-6)
     met = x.join(y, "head").where(sizes & (agree >= depth)).select("a", "b", agree.alias("depth"))
     return met.groupBy("a", "b").agg(F.max("depth").alias("depth"))
 
