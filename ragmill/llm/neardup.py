@@ -4,15 +4,15 @@ Token-combination prefixes. Words (with their occurrence number) are tokens; tok
 records that hold them, counted over all records:
 
 * rare tokens (in at most ``RARE`` records) are indexed singly;
-* frequent tokens are indexed in combinations: under each of ``ORDERS`` sets of global token orders a record's prefix is
-  the six tokens that come first, one more than a combination needs, and all its ``K``-token combinations are indexed, so
-  that one edited token of a prefix does no harm;
+* frequent tokens are indexed in combinations: under each of several sets of global token orders a record's prefix is the
+  k + 1 tokens that come first, one more than a combination needs, and all its k-token combinations are indexed, so that
+  one edited token of a prefix does no harm; k and the number of sets follow from the number of records (``plan``);
 * stop tokens (in more than ``STOP_SHARE`` of the records) tell nothing and are left out, unless little else is there.
 
 Records with equal word multisets (copies, changed order) collapse to one representative before any record meets another.
 Candidates from equal combinations pass an exact lower bound on their distance (parities of their tokens) and are then
 verified on their whole texts. The candidate step is probabilistic: at a similarity of exactly 0.75 a link is missed with a
-probability below 1e-4, and the tests compare it with brute force.
+probability of about 1e-4 (``MISS``), and the tests compare it with brute force.
 
 Defined results: null and blank texts take no part; a text without any word is only like equal texts; rows are compared
 within their own ``within`` value; repeated keys count as one row if their texts are equal; no rows give no rows.
@@ -20,6 +20,7 @@ within their own ``within`` value; repeated keys count as one row if their texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,11 @@ from ragmill.llm import words
 from ragmill.session import materialise
 
 THRESHOLD = 0.75
-ORDERS, K = 12, 5
+#: Probability that a pair at the threshold meets in no combination.
+MISS = 1.2e-4
+#: Combinations have at least ``LEAST_K`` tokens. They grow with the collection so that a record of another text, of the
+#: similarity ``OTHER``, stays as rare among those that share a combination as it is with ``RECORDS`` records.
+LEAST_K, OTHER, RECORDS = 5, 0.25, 200_000
 RARE = 8
 STOP_SHARE = 0.3
 #: Tokens in more than this share of the records are known to every task not to be rare.
@@ -106,17 +111,24 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return token, df
 
 
-def combinations(first: np.ndarray, variant: int) -> np.ndarray:
-    """(rows, ORDERS * (K + 1)) signatures: of each prefix of K + 1 tokens, the hash of every K of them."""
+def plan(records: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(k, sets of orders): each factor of 1 / ``OTHER`` in records adds a token, and sets to make up for it."""
+    k = LEAST_K + max(0, math.ceil(math.log(max(records, 1) / RECORDS) / math.log(1 / OTHER)))
+    both = threshold**k * (threshold + (k + 1) * (1 - threshold))  # at least k of k + 1 first tokens are shared
+    return k, math.ceil(math.log(MISS) / math.log(1 - both))
+
+
+def combinations(first: np.ndarray, variant: int, k: int) -> np.ndarray:
+    """Signatures: of each prefix of k + 1 tokens, the hash of every k of them."""
     with np.errstate(over="ignore"):
-        n, size = len(first), K + 1
-        prefix = words.mix(first.reshape(n, ORDERS, size) + np.arange(1, size + 1, dtype=np.uint64))
+        n, size, orders = len(first), k + 1, first.shape[1] // (k + 1)
+        prefix = words.mix(first.reshape(n, orders, size) + np.arange(1, size + 1, dtype=np.uint64))
         whole = prefix.sum(axis=2, dtype=np.uint64)[:, :, None] - prefix
-        place = np.arange(ORDERS * size, dtype=np.uint64) * np.uint64(2) + np.uint64(variant + 1)
-        return words.mix(whole.reshape(n, ORDERS * size) ^ words.mix(place * words.GOLDEN))
+        place = np.arange(orders * size, dtype=np.uint64) * np.uint64(2) + np.uint64(variant + 1)
+        return words.mix(whole.reshape(n, orders * size) ^ words.mix(place * words.GOLDEN))
 
 
-def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray) -> DataFrame:
+def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray, k: int, orders: int) -> DataFrame:
     """(key, within, n, fp, parity, sigs, rare): what a record is compared by. ``rare`` holds its tokens not known to be common."""
     kind = records.schema["key"].dataType.simpleString()
 
@@ -137,7 +149,7 @@ def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray) -> Da
                 sums[1][i] ^= np.uint64(xxhash.xxh3_64_intdigest(texts[i] + "."))
             sigs: list[list[np.ndarray]] = [[] for _ in range(rows)]
             for variant, kept, starts, present in words.content_tokens(tokens, row, rows, stop, LEAST, BOTH_BELOW):
-                found = combinations(words.minima(kept, starts, ORDERS * (K + 1)), variant).view(np.int64)
+                found = combinations(words.minima(kept, starts, orders * (k + 1)), variant, k).view(np.int64)
                 for i, s in zip(present, found):
                     sigs[i].append(s)
             lists = _lists([np.concatenate(s) if s else np.zeros(0, np.int64) for s in sigs])
@@ -204,7 +216,8 @@ class Index:
         common = shares.join(total, "within").where((F.col("df") > F.col("total") * KNOWN_SHARE) & (F.col("df") > RARE)).select("token", "df", "total").collect()
         known = _sorted_tokens(common)
         stop = _sorted_tokens([r for r in common if r["df"] > STOP_SHARE * r["total"]])
-        self.table = materialise(index_records(self.records, stop, known), "records")
+        largest = total.agg(F.max("total")).first()[0]
+        self.table = materialise(index_records(self.records, stop, known, *plan(largest or 0)), "records")
         self.rare = shares.where(F.col("df").between(2, RARE)).select("token")
         copies = self.table.groupBy("fp").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "rep")
         #: (fp, rep, key): every record that has copies, with the representative of its copies.

@@ -76,6 +76,15 @@ def test_groups(spark):
     assert got == {0: (0, 2), 1: (0, 3), 2: (0, 4), 3: (0, 4), 4: (0, 3), 5: (0, 2), 6: (6, 0), 8: (6, 0)}
 
 
+def test_combinations_grow_with_the_collection():
+    assert neardup.plan(0) == neardup.plan(1_000) == neardup.plan(200_000) == (5, 12)
+    sizes = [neardup.plan(10**n) for n in range(5, 12)]
+    assert [k for k, _ in sizes] == sorted(k for k, _ in sizes) and sizes[-1][0] == 15
+    for k, orders in sizes:
+        shared = 0.75 ** (k + 1) + (k + 1) * 0.25 * 0.75**k
+        assert (1 - shared) ** orders <= neardup.MISS
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.node: r.root for r in neardup.components(links).collect()}
