@@ -89,8 +89,8 @@ def vector_topk_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT hit_no, qid, id, coalesce(content, '') AS content, coalesce(score, 0) AS score FROM hits WHERE coalesce(score, 0) >= {THRESHOLD}")
 def search_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.as_results(table(spark, sf_dir, "hits"))
-    return hits.where(search.at_least(THRESHOLD)).select("hit_no", "qid", "id", "content", "score")
+    hits = table(spark, sf_dir, "hits").where(search.at_least(THRESHOLD))
+    return search.as_results(hits).select("hit_no", "qid", "id", "content", "score")
 
 
 @query("SELECT hit_no, coalesce(content, '') AS content, metadata.source AS source, coalesce(metadata.page, 0) AS page, coalesce(score, 0) AS score FROM hits")

@@ -30,7 +30,7 @@ def require_rows(df: DataFrame, message: str = "No files provided for ingestion"
 
 def is_asked(query: Column) -> Column:
     """Whether a question may be asked: null and empty are refused, blanks pass."""
-    return F.coalesce(query, F.lit("")) != ""
+    return query.isNotNull() & (query != "")
 
 
 def item_id(column: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,13 +108,18 @@ def _merge(held, score: np.ndarray, names: np.ndarray, k: int, q: np.ndarray, x:
 def at_least(threshold: float | Column | None, score: str = "score", mode: str = "reference") -> Column:
     """The filter behind the top-K. The score is a distance, yet by default, mode "reference", rows pass whose score reaches
     the threshold, so the nearest may fail; null and NaN thresholds are 0. Mode "similarity" keeps rows no farther than it."""
-    bound = F.lit(0.0) if threshold is None else (threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
-    bound = F.coalesce(F.nanvl(bound, F.lit(0.0)), F.lit(0.0))
-    if mode == "reference":
-        return F.coalesce(F.col(score), F.lit(0.0)) >= bound
-    if mode == "similarity":
-        return F.coalesce(F.col(score), F.lit(0.0)) <= bound
-    raise ValueError("mode must be reference or similarity")
+    if mode not in ("reference", "similarity"):
+        raise ValueError("mode must be reference or similarity")
+    if isinstance(threshold, Column):
+        bound = F.coalesce(F.nanvl(threshold, F.lit(0.0)), F.lit(0.0))
+    else:
+        number = 0.0 if threshold is None or math.isnan(threshold) else float(threshold)
+        if mode == "reference" and number > 0:
+            # A missing score is 0 and fails: said so plainly, the scan can skip rows.
+            return (F.col(score) >= number) & ~F.isnan(score)
+        bound = F.lit(number)
+    value = F.coalesce(F.nanvl(F.col(score), F.lit(0.0)), F.lit(0.0))
+    return value >= bound if mode == "reference" else value <= bound
 
 
 def as_results(hits: DataFrame) -> DataFrame:
