@@ -63,7 +63,7 @@ def _joins_pictographs(text: str) -> str:
     out = []
     for i, char in enumerate(text):
         if char == JOINER:
-            before = text[:i].rstrip("\ufe0f" + JOINER)[-1:]
+            before = text[max(0, i - 8) : i].rstrip("\ufe0f" + JOINER)[-1:]
             after = text[i + 1 : i + 2]
             if not (before and after and unicodedata.category(before) in ("So", "Sk") and unicodedata.category(after) in ("So", "Sk")):
                 continue

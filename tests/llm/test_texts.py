@@ -250,3 +250,21 @@ def test_look_alike_pairs(spark):
     assert lookalikes.look_alike_pairs(df.where("false"), "doc", "text", "a", "b").count() == 0
     forms = {r.doc: r.canonical for r in lookalikes.canonical_texts(df, "doc", "text").collect()}
     assert forms[0] == "page" and forms[texts.index(None)] is None
+
+
+# -- very long texts ----------------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    long = ["e" * 2_000_000, "wood " * 300_000, "\U0001f469\u200d" * 200_000, "a\n" * 300_000, "x-\ny " * 100_000]
+    df = page_table(spark, [(i, i, t, pages.PDF, None) for i, t in enumerate(long)]).withColumn("opt_no", F.lit(1))
+    assert pages.paragraphs(df, "rec_no").count() == len(long)
+    options = spark.createDataFrame([(1, 1000, 100)], "opt_no int, chunkSize int, overlap int")
+    pieces = splitting.split_records(df, options, "rec_no", "content").groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()
+    assert {r.key: r.n for r in pieces} == {i: len(t) for i, t in enumerate(long)}
+    assert lookalikes.look_alike_pairs(df, "rec_no", "content", "a", "b").count() == 0
+    files = spark.createDataFrame([(i, "s.example/x") for i in range(len(long))], "file_no long, originalname string")
+    assert boilerplate.found_lines(df, files, "rec_no", "content").count() == 0
+    if os.path.isdir(tokens.TOKENIZER_DIR):
+        ids = tokens.encode_corpus(df, "rec_no", "content")
+        assert {r.rec_no: r.text for r in tokens.decode_corpus(ids, "rec_no", "ids").collect()} == dict(enumerate(long))
