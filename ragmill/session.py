@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     global _LOCAL
     if _LOCAL is None or not os.path.isdir(_LOCAL):
         _LOCAL = tempfile.mkdtemp(prefix="ragmill-")
+        atexit.register(shutil.rmtree, _LOCAL, True)
     return "file://" + _LOCAL
 
 
