@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -22,12 +21,6 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], It
     return df.mapInArrow(run, schema)
 
 
-def spread(df: DataFrame, column: str) -> DataFrame:
-    """Split work evenly over the session's shuffle partitions, whatever the files look like."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, F.xxhash64(column))
-
-
 def int_lists(parts: list[bytes]) -> pa.ListArray:
     """A list<int32> column from the lists' raw little-endian bytes."""
     lengths = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts)) // 4

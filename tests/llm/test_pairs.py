@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ragmill.llm import history, knn, neardup, words
 
