@@ -20,12 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import words
-from ragmill.llm.neardup import BOTH_BELOW, LEAST, THRESHOLD, _lists, _sliced, _sorted_tokens, apart, parities, token_shares, verified
+from ragmill.llm.neardup import THRESHOLD, _lists, _sliced, apart, parities, verified
 from ragmill.session import materialise, scratch_path
 
 TREES, DEPTH = 30, 6
-#: Tokens in more than this share of the history are left out of labels, unless little else is there.
-STOP_SHARE = 0.3
 #: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each, whose last
 #: 16 bits are the text's size.
 HEAD, MOST_SIZE = 3, (1 << 16) - 1
@@ -43,7 +41,7 @@ def prefix_depth(trees: int, similarity: float, recall: float) -> int:
     return HEAD
 
 
-def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
+def label_texts(records: DataFrame) -> DataFrame:
     """(key, n, fp, parity, labels): what texts are found and compared by; rows without visible text are left out."""
     kind = records.schema["key"].dataType.simpleString()
 
@@ -60,11 +58,12 @@ def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
                     np.add.at(s, row, words.mix(tokens + np.uint64(i + 1)))
             for i in np.flatnonzero(counts == 0):
                 sums[0][i], sums[1][i] = (np.uint64(xxhash.xxh3_64_intdigest(texts[i] + x)) for x in ("", "."))
-            heads: list[list[np.ndarray]] = [[] for _ in range(rows)]
-            for variant, kept, starts, present in words.content_tokens(tokens, row, rows, stop, LEAST, BOTH_BELOW):
-                first = words.minima(kept, starts, TREES * DEPTH).reshape(-1, TREES, DEPTH)
+            heads = [np.zeros(0, np.int64)] * rows
+            present, starts = np.unique(row, return_index=True)
+            if len(present):
+                first = words.minima(tokens, starts, TREES * DEPTH).reshape(-1, TREES, DEPTH)
                 with np.errstate(over="ignore"):
-                    place = np.arange(TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(variant + 1)
+                    place = np.arange(TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
                     head = words.mix(place * words.GOLDEN)[None, :]
                     for d in range(HEAD):
                         head = words.mix(head ^ first[:, :, d])
@@ -74,9 +73,9 @@ def label_texts(records: DataFrame, stop: np.ndarray) -> DataFrame:
                     rest = (rest << np.uint64(16)) | np.minimum(counts[present], MOST_SIZE).astype(np.uint64)[:, None]
                 both = np.stack([head, rest], axis=2).reshape(len(present), -1).view(np.int64)
                 for i, b in zip(present, both):
-                    heads[i].append(b)
+                    heads[i] = b
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts.astype(np.int32)), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums)], pa.binary()), _lists(parities(tokens, row, counts)), _lists([np.concatenate(h) if h else np.zeros(0, np.int64) for h in heads])],
+                [part.column(0), pa.array(counts.astype(np.int32)), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums)], pa.binary()), _lists(parities(tokens, row, counts)), _lists(heads)],
                 names=["key", "n", "fp", "parity", "labels"],
             )
 
@@ -103,27 +102,23 @@ class Forest:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.stop = _sorted_tokens(spark.read.parquet(f"{path}/stop").collect())
 
     @classmethod
     def create(cls, path: str, history: DataFrame, key: str, text: str) -> Forest:
-        """A forest over ``history``. Its stop tokens, counted over all of it, stay those of the forest: there are at most
-        mean text length / STOP_SHARE of them."""
-        spark, records = history.sparkSession, _texts(history, key, text)
-        shares = materialise(token_shares(records), "tokens")
-        total = (shares.where("token = 0").agg(F.max("df")).first()[0]) or 0
-        shares.where((F.col("token") != 0) & (F.col("df") > STOP_SHARE * total)).select("token").coalesce(1).write.parquet(f"{path}/stop")
-        forest = cls(spark, path)
+        """A forest over ``history``."""
+        forest = cls(history.sparkSession, path)
         forest.append(history, key, text)
         return forest
 
     def _runs(self, kind: str) -> list[str]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(at)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        found = files.listStatus(at)
         return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith(kind + "-"))
 
     def label(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        return label_texts(_texts(df, key, text), self.stop)
+        return label_texts(_texts(df, key, text))
 
     def append(self, df: DataFrame, key: str, text: str) -> None:
         """Add a run with the rows of ``df``, one per word multiset."""
@@ -159,15 +154,17 @@ class Forest:
 def prefix_pairs(a: DataFrame, b: DataFrame, threshold: float, recall: float) -> DataFrame:
     """(a, b, depth): keys of entries on both sides that agree on a prefix long enough, with the deepest agreement."""
     depth = prefix_depth(TREES, threshold, recall)
-    x = a.select("head", F.col("rest").alias("ra"), F.col("key").alias("a"))
-    y = b.select("head", F.col("rest").alias("rb"), F.col("key").alias("b"))
+    # What must agree beyond the head is a join key too: frequent words make equal heads common.
+    lead = F.shiftrightunsigned("rest", 16 * (DEPTH - depth) + 16).alias("lead") if depth > HEAD else F.lit(0).alias("lead")
+    x = a.select("head", lead, F.col("rest").alias("ra"), F.col("key").alias("a"))
+    y = b.select("head", lead, F.col("rest").alias("rb"), F.col("key").alias("b"))
     differ = F.col("ra").bitwiseXOR(F.col("rb"))
     agree = F.lit(HEAD)
     for d in range(HEAD + 1, DEPTH + 1):
         agree = F.when(F.shiftrightunsigned(differ, 16 * (DEPTH - d) + 16) == 0, d).otherwise(agree)
     na, nb = (F.col(c).bitwiseAND(F.lit(MOST_SIZE)) for c in ("ra", "rb"))
     sizes = (F.greatest(na, nb) == MOST_SIZE) | (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-6)
-    met = x.join(y, "head").where(sizes & (agree >= depth)).select("a", "b", agree.alias("depth"))
+    met = x.join(y, ["head", "lead"]).where(sizes & (agree >= depth)).select("a", "b", agree.alias("depth"))
     return met.groupBy("a", "b").agg(F.max("depth").alias("depth"))
 
 

@@ -1,13 +1,13 @@
 """Problem 1: groups of records that repeat one another apart from small edits, insertions or changed order.
 
-Token-combination prefixes. Words (with their occurrence number) are tokens; tokens fall into three classes by the share of
-records that hold them, counted over all records:
+Token-combination prefixes. Words (with their occurrence number) are tokens:
 
 * rare tokens (in at most ``RARE`` records) are indexed singly;
-* frequent tokens are indexed in combinations: under each of several sets of global token orders a record's prefix is the
-  k + 1 tokens that come first, one more than a combination needs, and all its k-token combinations are indexed, so that
-  one edited token of a prefix does no harm; k and the number of sets follow from the number of records (``plan``);
-* stop tokens (in more than ``STOP_SHARE`` of the records) tell nothing and are left out, unless little else is there.
+* all tokens are indexed in combinations: under each of several sets of k global token orders a record's prefix is the
+  tokens that come first, and their combination is indexed; k and the number of sets follow from the number of records
+  (``plan``).
+
+No token is left out of the combinations however many records hold it: what is indexed is as similar as the whole texts are.
 
 Records with equal word multisets (copies, changed order) collapse to one representative before any record meets another.
 Candidates from equal combinations pass an exact lower bound on their distance (parities of their tokens) and are then
@@ -38,12 +38,11 @@ MISS = 1.2e-4
 #: Combinations have at least ``LEAST_K`` tokens. They grow with the collection so that a record of another text, of the
 #: similarity ``OTHER``, stays as rare among those that share a combination as it is with ``RECORDS`` records.
 LEAST_K, OTHER, RECORDS = 5, 0.25, 200_000
+#: The least for combinations of all tokens: other texts share many frequent words (0.13 to 0.3 of all in the test tables).
+WHOLE_K = 7
 RARE = 8
-STOP_SHARE = 0.3
 #: Tokens in more than this share of the records are known to every task not to be rare.
 KNOWN_SHARE = 0.005
-#: Records with fewer content tokens than the first are indexed with their stop tokens, those with fewer than the second too.
-LEAST, BOTH_BELOW = 16, 28
 #: 64-bit words of a record's parities, and the record size from which it also has parities of that width.
 PARITY_LEVELS = ((8, 0), (32, 400), (128, 1_600), (512, 6_400))
 
@@ -111,24 +110,24 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return token, df
 
 
-def plan(records: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(k, sets of orders): each factor of 1 / ``OTHER`` in records adds a token, and sets to make up for it."""
-    k = LEAST_K + max(0, math.ceil(math.log(max(records, 1) / RECORDS) / math.log(1 / OTHER)))
-    both = threshold**k * (threshold + (k + 1) * (1 - threshold))  # at least k of k + 1 first tokens are shared
+def plan(records: int, threshold: float = THRESHOLD, least: int = LEAST_K, spare: int = 1) -> tuple[int, int]:
+    """(k, sets of orders): each factor of 1 / ``OTHER`` in records adds a token, and sets to make up for it. A prefix has
+    ``spare`` tokens (0 or 1) more than a combination: more combinations of fewer orders, less CPU time for more disk."""
+    k = least + max(0, math.ceil(math.log(max(records, 1) / RECORDS) / math.log(1 / OTHER)))
+    both = threshold**k * (threshold + (k + 1) * (1 - threshold) if spare else 1)  # at least k first tokens are shared
     return k, math.ceil(math.log(MISS) / math.log(1 - both))
 
 
-def combinations(first: np.ndarray, variant: int, k: int) -> np.ndarray:
-    """Signatures: of each prefix of k + 1 tokens, the hash of every k of them."""
+def combinations(first: np.ndarray, k: int) -> np.ndarray:
+    """Signatures: the hash of each prefix of k tokens."""
     with np.errstate(over="ignore"):
-        n, size, orders = len(first), k + 1, first.shape[1] // (k + 1)
-        prefix = words.mix(first.reshape(n, orders, size) + np.arange(1, size + 1, dtype=np.uint64))
-        whole = prefix.sum(axis=2, dtype=np.uint64)[:, :, None] - prefix
-        place = np.arange(orders * size, dtype=np.uint64) * np.uint64(2) + np.uint64(variant + 1)
-        return words.mix(whole.reshape(n, orders * size) ^ words.mix(place * words.GOLDEN))
+        n, orders = len(first), first.shape[1] // k
+        prefix = words.mix(first.reshape(n, orders, k) + np.arange(1, k + 1, dtype=np.uint64))
+        place = np.arange(1, orders + 1, dtype=np.uint64)
+        return words.mix(prefix.sum(axis=2, dtype=np.uint64) ^ words.mix(place * words.GOLDEN))
 
 
-def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray, k: int, orders: int) -> DataFrame:
+def index_records(records: DataFrame, known: np.ndarray, k: int, orders: int) -> DataFrame:
     """(key, within, n, fp, parity, sigs, rare): what a record is compared by. ``rare`` holds its tokens not known to be common."""
     kind = records.schema["key"].dataType.simpleString()
 
@@ -147,12 +146,13 @@ def index_records(records: DataFrame, stop: np.ndarray, known: np.ndarray, k: in
             for i in np.flatnonzero(counts == 0):
                 sums[0][i] ^= np.uint64(xxhash.xxh3_64_intdigest(texts[i]))
                 sums[1][i] ^= np.uint64(xxhash.xxh3_64_intdigest(texts[i] + "."))
-            sigs: list[list[np.ndarray]] = [[] for _ in range(rows)]
-            for variant, kept, starts, present in words.content_tokens(tokens, row, rows, stop, LEAST, BOTH_BELOW):
-                found = combinations(words.minima(kept, starts, orders * (k + 1)), variant, k).view(np.int64)
+            sigs = [np.zeros(0, np.int64)] * rows
+            present, starts = np.unique(row, return_index=True)
+            if len(present):
+                found = combinations(words.minima(tokens, starts, orders * k), k).view(np.int64)
                 for i, s in zip(present, found):
-                    sigs[i].append(s)
-            lists = _lists([np.concatenate(s) if s else np.zeros(0, np.int64) for s in sigs])
+                    sigs[i] = s
+            lists = _lists(sigs)
             unknown = ~words.in_sorted(tokens, known)
             rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[unknown], minlength=rows))).astype(np.int32)), pa.array(tokens[unknown].view(np.int64)))
             parity = _lists(parities(tokens, row, counts))
@@ -213,11 +213,10 @@ class Index:
         total = F.broadcast(shares.where("token = 0").select("within", F.col("df").alias("total")))  # one row per scope
         shares = shares.where("token <> 0")
         # The shares of one scope's tokens sum to the mean length of its records, so at most mean length / share tokens reach a share.
-        common = shares.join(total, "within").where((F.col("df") > F.col("total") * KNOWN_SHARE) & (F.col("df") > RARE)).select("token", "df", "total").collect()
+        common = shares.join(total, "within").where((F.col("df") > F.col("total") * KNOWN_SHARE) & (F.col("df") > RARE)).select("token").collect()
         known = _sorted_tokens(common)
-        stop = _sorted_tokens([r for r in common if r["df"] > STOP_SHARE * r["total"]])
         largest = total.agg(F.max("total")).first()[0]
-        self.table = materialise(index_records(self.records, stop, known, *plan(largest or 0)), "records")
+        self.table = materialise(index_records(self.records, known, *plan(largest or 0, least=WHOLE_K, spare=0)), "records")
         self.rare = shares.where(F.col("df").between(2, RARE)).select("token")
         copies = self.table.groupBy("fp").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "rep")
         #: (fp, rep, key): every record that has copies, with the representative of its copies.

@@ -90,22 +90,6 @@ def minima(tokens: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def content_tokens(tokens: np.ndarray, row: np.ndarray, rows: int, stop: np.ndarray, least: int, both_below: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(variant, tokens, starts, rows with a token) for the signatures: without stop tokens where at least ``least`` others
-    are left (variant 0), with them where fewer than ``both_below`` are (variant 1); rows between have both variants."""
-    rare = ~in_sorted(tokens, stop)
-    left = np.bincount(row[rare], minlength=rows)
-    total = np.bincount(row, minlength=rows)
-    out = []
-    for variant, keep, use in ((0, rare, left >= least), (1, np.ones(len(tokens), bool), (left < both_below) & (total > 0))):
-        keep = keep & use[row]
-        if keep.any():
-            kept = row[keep]
-            present, starts = np.unique(kept, return_index=True)
-            out.append((variant, tokens[keep], starts, present))
-    return out
-
-
 def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), dtype=bool)

@@ -59,6 +59,32 @@ def test_near_pairs_equal_brute_force(spark, seed):
     assert got == brute(texts)
 
 
+def copies_and_versions(seed=7):
+    """One text in a third of the rows, with versions of it that have 30 words more or fewer, among others."""
+    rng = random.Random(seed)
+    hot = [f"h{i}" for i in range(300)]
+    texts = [" ".join(hot)] * 60
+    for v in range(6):
+        texts += [" ".join([*hot[:100], *(f"n{v}x{i}" for i in range(30)), *hot[100:]]), " ".join(hot[30 + v :])]
+    return texts + [" ".join(rng.choice(VOCABULARY) for _ in range(80)) for _ in range(108)]
+
+
+def test_near_pairs_of_a_text_in_a_third_of_the_rows(spark):
+    texts = copies_and_versions()
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "k long, t string, s string")
+    got = {(r.key_a, r.key_b) for r in neardup.near_pairs(df, "k", "t", "s").collect()}
+    assert got == brute(texts)
+
+
+def test_repeats_of_a_text_in_a_third_of_the_history(spark):
+    texts = copies_and_versions()
+    hot = texts[0].split()
+    old = [(i, None, t) for i, t in enumerate(t for t in texts if t == texts[0] or t[0] == "w")]
+    new = [(i, 1, None, " ".join([*hot[:100], *(f"m{i}x{j}" for j in range(30)), *hot[100:]])) for i in range(6)]
+    got = history.repeats(spark.createDataFrame(old, "item long, id string, text string"), spark.createDataFrame(new, "in_no long, batch int, id string, text string"), "item", "in_no", "batch")
+    assert {(r.in_no, r.batch) for r in got.collect()} == repeats_brute(old, new) == {(i, 1) for i in range(6)}
+
+
 def test_near_pairs_within_scopes_and_clashing_names(spark):
     rows = [(1, "a b c d", "x", 1), (2, "a b c d", "x", 1), (3, "a b c d", "y", 1), (4, "d c b a", "y", 1), (5, "a b c d", None, 1), (6, "a b c d", None, 1)]
     df = spark.createDataFrame(rows, "n long, sig string, fp string, key int")
