@@ -85,6 +85,37 @@ def test_repeats_of_a_text_in_a_third_of_the_history(spark):
     assert {(r.in_no, r.batch) for r in got.collect()} == repeats_brute(old, new) == {(i, 1) for i in range(6)}
 
 
+def mostly_common_words(pairs=100, seed=8):
+    """Texts of 60 words that all have and 40 others, each with a version just above the threshold where only others differ."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(pairs):
+        drawn = rng.sample(VOCABULARY[:300], 54)
+        common = [f"c{i}" for i in range(60)]
+        texts += [" ".join(common + drawn[:40]), " ".join(common + drawn[14:])]
+    return texts
+
+
+def test_near_pairs_of_texts_of_mostly_common_words(spark):
+    texts = mostly_common_words()
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "k long, t string, s string")
+    got = {(r.key_a, r.key_b) for r in neardup.near_pairs(df, "k", "t", "s").collect()}
+    assert got == brute(texts) and len(got) >= 100
+
+
+def test_repeats_of_texts_of_mostly_common_words(spark):
+    texts = mostly_common_words()
+    old, new = [(i, None, t) for i, t in enumerate(texts[::2])], [(i, 1, None, t) for i, t in enumerate(texts[1::2])]
+    got = history.repeats(spark.createDataFrame(old, "item long, id string, text string"), spark.createDataFrame(new, "in_no long, batch int, id string, text string"), "item", "in_no", "batch")
+    assert {(r.in_no, r.batch) for r in got.collect()} == repeats_brute(old, new) == {(i, 1) for i in range(100)}
+
+
+def test_combinations_of_whole_texts_keep_the_miss():
+    for n in range(5, 12):
+        k, orders = neardup.plan(10**n, least=neardup.WHOLE_K, spare=0)
+        assert (1 - 0.75**k) ** orders <= neardup.MISS
+
+
 def test_near_pairs_within_scopes_and_clashing_names(spark):
     rows = [(1, "a b c d", "x", 1), (2, "a b c d", "x", 1), (3, "a b c d", "y", 1), (4, "d c b a", "y", 1), (5, "a b c d", None, 1), (6, "a b c d", None, 1)]
     df = spark.createDataFrame(rows, "n long, sig string, fp string, key int")
