@@ -76,6 +76,40 @@ def test_compounds_keep_their_hyphen():
     assert pages.hyphenation(corpus, "win", "-", "") is None
 
 
+def test_two_misreadings_of_any_kind_and_words_of_any_length():
+    long = "betriebskostenabrechnungsunterlagenverzeichnisse"
+    corpus = pages.Corpus({"the": 5000, "running": 50, "modern": 60, "inspection": 50, long: 40}, {}, frozenset(), frozenset())
+    assert corpus.repair("tbe") == "the"
+    assert corpus.repair("rurming") == "running"  # nn as rm
+    assert corpus.repair("rnoclern") == "modern"  # m as rn, d as cl
+    assert corpus.repair("lnspectlon") == "inspection"  # i as l, twice
+    assert corpus.repair(long.replace("t", "f", 1).replace("verz", "vcrz")) == long
+    assert corpus.repair("modern") is None and corpus.repair("zzzz") is None
+
+
+def test_two_misreadings_are_found_as_by_trying_all():
+    rng = random.Random(5)
+    letters = "acdehilmnorstu"
+    known = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(3000)]
+    corpus = pages.Corpus({w: rng.randint(4, 400) for w in known}, {}, frozenset(), frozenset())
+
+    def undone(word, start):
+        for read, printed in pages.MISREADINGS:
+            at = word.find(read, start)
+            while at >= 0:
+                yield word[:at] + printed + word[at + len(read) :], at + len(printed)
+                at = word.find(read, at + 1)
+
+    for _ in range(300):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
+        if word in corpus.words:
+            continue
+        once = {w for w, _ in undone(word, 0)} & corpus.words.keys()
+        twice = {w for first, at in undone(word, 0) for w, _ in undone(first, at)} & corpus.words.keys()
+        best = min(once or twice, key=lambda w: (-corpus.words[w], w), default=None)
+        assert corpus.repair(word) == best
+
+
 def test_no_pages(spark):
     df = page_table(spark, [(1, 1, "x", "text", None)])
     assert pages.found_lines(df.where("false"), "rec_no").count() == 0
