@@ -259,6 +259,10 @@ def test_nearest_recall_with_parts(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_routing_is_calibrated_to_the_recall_first_set():
+    assert knn.RECALL >= 0.985
+
+
 def test_mutual_and_too_few(spark):
     got = knn.nearest(vectors(spark, np.eye(3)[[0, 0, 1]]), "id", "embedding", 10, 3)
     assert sorted((r.key, r.neighbour) for r in got.collect()) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
