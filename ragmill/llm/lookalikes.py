@@ -28,6 +28,11 @@ SAME_SHAPE = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek capitals
     ("ονρϲϳ", "ovpcj"),  # Greek small letters
     ("ΓΠΦ", "ГПФ"),  # Greek capitals that only Cyrillic shares
+    ("\u0474\u050c\u04d4\u04d8\u04e0\ua644", "VG\u00c6\u018f\u01b7\u01a7"),  # more Cyrillic capitals
+    ("\u04cf\u04d5\u04d9\u04e1\ua645", "l\u00e6\u0259\u0292\u01a8"),  # more Cyrillic small letters
+    ("\u03dc\u03fa\u01a9\u0470\u0471", "FM\u03a3\u03a8\u03c8"),  # digamma, san, esh and sigma, psi
+    ("\u0472\u04e8\u019f\u0473\u04e9", "\u0398\u0398\u0398\u0275\u0275"),  # theta, fita and barred o
+    ("\u00b5\u0269", "\u03bc\u03b9"),  # micro sign and mu, Latin iota
 ]
 # Characters other than format characters and variation selectors that show nothing.
 SHOW_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"

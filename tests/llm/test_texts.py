@@ -275,6 +275,15 @@ def test_skeletons():
             assert lookalikes.skeleton(lookalikes.skeleton(t)) == lookalikes.skeleton(t)
 
 
+def test_rarer_letters_of_one_shape_both_ways():
+    for seen, as_ in ("\u0474V", "\u04cfl", "\u050cG", "\u04d4\u00c6", "\u04d5\u00e6", "\u04d8\u018f", "\u04d9\u0259", "\u0472\u0398", "\u04e8\u0398", "\u00b5\u03bc"):
+        assert lookalikes.skeleton(f"a{seen}b") == lookalikes.skeleton(f"a{as_}b")
+    for seen, prototype in lookalikes.SAME_SHAPE:
+        assert len(seen) == len(prototype)
+        for a, b in zip(seen, prototype):
+            assert lookalikes.skeleton(a) == lookalikes.skeleton(b) == lookalikes.skeleton(lookalikes.skeleton(a)), (a, b)
+
+
 def test_look_alike_pairs(spark):
     texts = [t for pair in ALIKE for t in pair] + ["page", "page", None, "", " ", " ", "lone"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc long, text string, look string")
