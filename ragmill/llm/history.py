@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import words
-from ragmill.llm.neardup import THRESHOLD, _lists, _sliced, apart, parities, verified
+from ragmill.llm.neardup import THRESHOLD, apart, parities, verified
 from ragmill.session import materialise, scratch_path
 
 TREES, DEPTH = 30, 6

@@ -1,53 +1,52 @@
 """Problem 1: groups of records that repeat one another apart from small edits, insertions or changed order.
 
-Token-combination prefixes. Words (with their occurrence number) are tokens:
+Token-combination prefixes. Words (with their occurrence number) are tokens; the tasks hand out, for each distinct word multiset,
 
-* rare tokens (in at most ``RARE`` records) are indexed singly;
-* all tokens are indexed in combinations: under each of several sets of k global token orders a record's prefix is the
-  tokens that come first, and their combination is indexed; k and the number of sets follow from the number of records
-  (``plan``).
+* rare tokens (in at most ``RARE`` different texts) singly;
+* for tokens of any frequency the combination of the k tokens that come first under a global order, in each of ``TREES``
+  orders. A prefix starts at three tokens and is extended to seven by the record's size band (``prefixes.depths``): as far
+  as a pair at the threshold still meets in one of the orders but for a probability of ``MISS``.
 
 No token is left out of the combinations however many records hold it: what is indexed is as similar as the whole texts are.
+The number of index entries per record is the same for any number of records.
 
-Records with equal word multisets (copies, changed order) collapse to one representative before any record meets another.
-Candidates from equal combinations pass an exact lower bound on their distance (parities of their tokens) and are then
-verified on their whole texts. The candidate step is probabilistic: at a similarity of exactly 0.75 a link is missed with a
-probability of about 1e-4 (``MISS``), and the tests compare it with brute force.
+Records with equal word multisets (copies, changed order) collapse to one representative, within a task before anything moves and
+among tasks where their entries meet. Candidates pass sizes and sketches where entries meet, then an exact lower bound on
+their distance (parities of their tokens), and are verified on their whole texts. Groups of entries with one combination that
+are too large for a task are cut into blocks that other tasks compare. The candidate step is probabilistic: at a similarity of
+exactly 0.75 a link is missed with a probability of about 2e-4 (``MISS`` and the sketch's 5e-5).
 
 Defined results: null and blank texts take no part; a text without any word is only like equal texts; rows are compared
-within their own ``within`` value; repeated keys count as one row if their texts are equal; no rows give no rows.
+within their own ``within`` value; repeated keys count as one row if their texts are equal; no rows give no rows; keys are
+whole numbers, any other type raises.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import words
+from ragmill.llm.prefixes import THRESHOLD, Entries, Forest, block_pairs, distinct_pairs, integer_key, long_array, packed, runs, self_pairs, sketches_near, unpacked
 from ragmill.session import materialise
 
-THRESHOLD = 0.75
-#: Probability that a pair at the threshold meets in no combination.
-MISS = 1.2e-4
-#: Combinations have at least ``LEAST_K`` tokens. They grow with the collection so that a record of another text, of the
-#: similarity ``OTHER``, stays as rare among those that share a combination as it is with ``RECORDS`` records.
-LEAST_K, OTHER, RECORDS = 5, 0.25, 200_000
-#: The least for combinations of all tokens: other texts share many frequent words (0.13 to 0.3 of all in the test tables).
-WHOLE_K = 7
+#: Orders, and the probability that a pair at the threshold shares a combination in none of them.
+TREES, DEEPEST, MISS = 76, 7, 1.2e-4
 RARE = 8
-#: Tokens in more than this share of the records are known to every task not to be rare.
-KNOWN_SHARE = 0.005
+#: Records per bucket that the number of buckets aims at: some 90 MB of entries.
+PER_BUCKET = 40_000
+#: Records and tokens that a task gathers before it hands their entries out.
+UNIT_RECORDS, UNIT_TOKENS = 20_000, 4_000_000
 #: 64-bit words of a record's parities, and the record size from which it also has parities of that width.
 PARITY_LEVELS = ((8, 0), (32, 400), (128, 1_600), (512, 6_400))
-
-#: Sizes up to this one fit into an entry of the index.
-MOST_SIZE = (1 << 16) - 1
+#: What a row of the shuffle holds, and a row of what comes of it.
+LABELS, SINGLES, COPIES, RECORDS, LOCAL, PAIRS, BLOCKS = range(7)
 
 
 def visible(texts: pa.Array) -> np.ndarray:
@@ -62,106 +61,197 @@ def _salts(within: list) -> np.ndarray:
     return np.fromiter((known[w] for w in within), dtype=np.uint64, count=len(within))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """Slices of rows with visible text: (rows, texts, salts); columns are key, within, text."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Slices of rows with a key and visible text: (keys, texts, salts); columns are key, within, text."""
     for batch in batches:
-        batch = batch.filter(pa.array(visible(batch.column(2))))
-        texts = batch.column(2).to_pylist()
+        batch = batch.filter(pa.array(visible(batch.column(2)) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+        texts, keys = batch.column(2).to_pylist(), batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+        salts = _salts(batch.column(1).to_pylist())
         for i, j in words.slices(texts):
-            part = batch.slice(i, j - i)
-            yield part, texts[i:j], _salts(part.column(1).to_pylist())
+            yield keys[i:j], texts[i:j], salts[i:j]
 
 
-def token_shares(records: DataFrame) -> DataFrame:
-    """(within, token, df): in how many records each token is; counted in the tasks before anything is shuffled."""
+def fingerprints(texts: list[str], tokens: np.ndarray, row: np.ndarray, counts: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """(rows, 2): 128 bits that equal word multisets of one scope share; texts without words have those of their characters."""
+    import xxhash
 
-    def run(batches):
-        hashes, seen = words.WordHashes(), {}
-
-        def flush():
-            for within, parts in seen.items():
-                token, df = _summed(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([within] * len(token), pa.string()), pa.array(token.view(np.int64)), pa.array(df)], names=["within", "token", "df"])
-            seen.clear()
-
-        for part, texts, salts in _sliced(batches):
-            tokens, row, counts = words.multiset(texts, salts, hashes)
-            of = np.array(part.column(1).to_pylist(), dtype=object)
-            for within in set(of):
-                rows = np.fromiter((w == within for w in of), bool, len(of))
-                token, df = np.unique(tokens[rows[row]], return_counts=True)
-                held = seen.setdefault(within, [])
-                # A record count travels as the token 0, which stands for "any record".
-                held.append((np.append(token, np.uint64(0)), np.append(df, rows.sum())))
-                if len(held) > 8:
-                    seen[within] = [_summed(held)]
-            if sum(len(p[0]) for held in seen.values() for p in held) > 2_000_000:
-                yield from flush()
-        yield from flush()
-
-    partial = records.mapInArrow(run, "within string, token bigint, df bigint")
-    return partial.groupBy("within", "token").agg(F.sum("df").alias("df"))
-
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    token, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    df = np.zeros(len(token), dtype=np.int64)
-    np.add.at(df, at, np.concatenate([p[1] for p in parts]))
-    return token, df
-
-
-def plan(records: int, threshold: float = THRESHOLD, least: int = LEAST_K, spare: int = 1) -> tuple[int, int]:
-    """(k, sets of orders): each factor of 1 / ``OTHER`` in records adds a token, and sets to make up for it. A prefix has
-    ``spare`` tokens (0 or 1) more than a combination: more combinations of fewer orders, less CPU time for more disk."""
-    k = least + max(0, math.ceil(math.log(max(records, 1) / RECORDS) / math.log(1 / OTHER)))
-    both = threshold**k * (threshold + (k + 1) * (1 - threshold) if spare else 1)  # at least k first tokens are shared
-    return k, math.ceil(math.log(MISS) / math.log(1 - both))
-
-
-def combinations(first: np.ndarray, k: int) -> np.ndarray:
-    """Signatures: the hash of each prefix of k tokens."""
+    out = np.zeros((len(texts), 2), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        n, orders = len(first), first.shape[1] // k
-        prefix = words.mix(first.reshape(n, orders, k) + np.arange(1, k + 1, dtype=np.uint64))
-        place = np.arange(1, orders + 1, dtype=np.uint64)
-        return words.mix(prefix.sum(axis=2, dtype=np.uint64) ^ words.mix(place * words.GOLDEN))
+        for i in range(2):
+            np.add.at(out[:, i], row, words.mix(tokens + np.uint64(i + 1)))
+            out[:, i] ^= salts
+    for r in np.flatnonzero(counts == 0):
+        for i, end in enumerate(("", ".")):
+            out[r, i] ^= np.uint64(xxhash.xxh3_64_intdigest((texts[r] + end).encode("utf-8", "surrogatepass")))
+    return out
 
 
-def index_records(records: DataFrame, known: np.ndarray, k: int, orders: int) -> DataFrame:
-    """(key, within, n, fp, parity, sigs, rare): what a record is compared by. ``rare`` holds its tokens not known to be common."""
-    kind = records.schema["key"].dataType.simpleString()
+class Unit:
+    """Different texts gathered by a task: their keys, fingerprints and tokens."""
+
+    def __init__(self):
+        self.keys, self.prints, self.tokens, self.counts, self.records, self.held = [], [], [], [], 0, 0
+
+    def add(self, keys: np.ndarray, texts: list[str], salts: np.ndarray, hashes: words.WordHashes) -> None:
+        tokens, row, counts = words.multiset(texts, salts, hashes)
+        self.keys.append(keys)
+        self.prints.append(fingerprints(texts, tokens, row, counts, salts))
+        self.tokens.append(tokens)
+        self.counts.append(counts)
+        self.records += len(keys)
+        self.held += len(tokens)
+
+    def full(self) -> bool:
+        return self.records >= UNIT_RECORDS or self.held >= UNIT_TOKENS
+
+    def collapsed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, prints, tokens, row of each token, counts) of the different texts, the smallest key standing for its copies,
+        and (representative, key) of the copies."""
+        keys, prints, tokens, counts = (np.concatenate(x) for x in (self.keys, self.prints, self.tokens, self.counts))
+        order = np.lexsort((keys, prints[:, 1], prints[:, 0]))
+        first = np.append(True, (prints[order][1:] != prints[order][:-1]).any(axis=1))
+        rep = keys[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        keep = np.zeros(len(keys), dtype=bool)
+        keep[order[first]] = True
+        row = np.repeat(np.arange(len(keys)), counts)
+        stays = keep[row]
+        counts = counts[keep]
+        return keys[keep], prints[keep], tokens[stays], np.repeat(np.arange(len(counts)), counts), counts, rep[~first], keys[order][~first]
+
+
+def entry_parts(forest: Forest, keys, prints, tokens, counts, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, base, blob) of the labels of texts that are large enough to have near ones that are not equal, and their
+    sketches; last come (s, t, n, fp) of all texts as the generator's value."""
+    label, head, s, t = forest.labels(tokens, counts)
+    n, fp = np.minimum(counts, 65_535).astype(np.uint16), (prints[:, 0] & np.uint64(0xFFFF)).astype(np.uint16)
+    rows = np.flatnonzero(forest.depth(counts) > 0)
+    trees = forest.trees
+    wide = lambda x: np.repeat(x[rows], trees)
+    yield from packed(label[rows].reshape(-1), wide(keys), wide(n), wide(s), wide(t), wide(fp), (head[rows].reshape(-1) % np.uint64(buckets)).astype(np.int32))
+    return s, t, n, fp
+
+
+def shuffle_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    bucket, kind, base, blob = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(base, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "kind", "base", "blob"])
+
+
+SHUFFLED = "bucket int, kind tinyint, base bigint, blob binary"
+
+
+def index_rows(records: DataFrame, forest: Forest, buckets: int, rare: int = RARE) -> DataFrame:
+    """What the tasks hand out of records (key, within, text), packed by bucket."""
+
+    def handed(unit: Unit) -> Iterator[pa.RecordBatch]:
+        keys, prints, tokens, row, counts, local, copy = unit.collapsed()
+        out = []
+        parts = entry_parts(forest, keys, prints, tokens, counts, buckets)
+        while True:
+            try:
+                bucket, base, blob = next(parts)
+            except StopIteration as end:
+                s, t, n, fp = end.value
+                break
+            out.append((bucket, LABELS, base, blob))
+        # Tokens that are rare here, with their records; of the others that they aren't, as an entry of size 0.
+        token, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        single = np.flatnonzero((times <= rare)[at])
+        common = token[times > rare]
+        who = row[single]
+        label = np.concatenate([tokens[single], common])
+        zero = lambda x: np.concatenate([x[who], np.zeros(len(common), x.dtype)])
+        mixed = words.mix(label)
+        out += [(b, SINGLES, base, blob) for b, base, blob in packed(mixed >> np.uint64(16), np.concatenate([keys[who], np.full(len(common), keys.min())]), zero(n), zero(s), zero(t), zero(fp), (label % np.uint64(buckets)).astype(np.int32))]
+        for b, at in _by_bucket((prints[:, 1] % np.uint64(buckets)).astype(np.int32)):
+            out.append((b, COPIES, 0, np.concatenate([prints[at].view(np.int64), keys[at, None]], axis=1).tobytes()))
+        bits = parities(tokens, row, counts)
+        for b, at in _by_bucket((words.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)):
+            out.append((b, RECORDS, len(at), np.concatenate([keys[at], counts[at], *(bits[i] for i in at)]).tobytes()))
+        if len(local):
+            out.append((int(local[0] % buckets), LOCAL, 0, np.stack([local, copy], axis=1).tobytes()))
+        for i in range(0, len(out), 2_000):
+            yield shuffle_rows(out[i : i + 2_000])
 
     def run(batches):
-        hashes = words.WordHashes()
-        for part, texts, salts in _sliced(batches):
-            rows = len(texts)
-            tokens, row, counts = words.multiset(texts, salts, hashes)
-            with np.errstate(over="ignore"):
-                sums = [np.zeros(rows, dtype=np.uint64) for _ in range(2)]
-                for i, s in enumerate(sums):
-                    np.add.at(s, row, words.mix(tokens + np.uint64(i + 1)))
-                    s ^= salts
-            import xxhash
-
-            for i in np.flatnonzero(counts == 0):
-                sums[0][i] ^= np.uint64(xxhash.xxh3_64_intdigest(texts[i]))
-                sums[1][i] ^= np.uint64(xxhash.xxh3_64_intdigest(texts[i] + "."))
-            sigs = [np.zeros(0, np.int64)] * rows
-            present, starts = np.unique(row, return_index=True)
-            if len(present):
-                found = combinations(words.minima(tokens, starts, orders * k), k).view(np.int64)
-                for i, s in zip(present, found):
-                    sigs[i] = s
-            lists = _lists(sigs)
-            unknown = ~words.in_sorted(tokens, known)
-            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[unknown], minlength=rows))).astype(np.int32)), pa.array(tokens[unknown].view(np.int64)))
-            parity = _lists(parities(tokens, row, counts))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(counts.astype(np.int32)), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums)], pa.binary()), parity, lists, rare],
-                names=["key", "within", "n", "fp", "parity", "sigs", "rare"],
-            )
-
-    return records.mapInArrow(run, f"key {kind}, within string, n int, fp binary, parity array<bigint>, sigs array<bigint>, rare array<bigint>")
+        hashes, unit = words.WordHashes(), Unit()
+        for keys, texts, salts in sliced(batches):
+            unit.add(keys, texts, salts, hashes)
+            if unit.full():
+                yield from handed(unit)
+                unit = Unit()
+        if unit.records:
+            yield from handed(unit)
+
+    return records.mapInArrow(run, SHUFFLED)
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order)) if len(order) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[order[i]]), order[i:j]
+
+
+def parity_words(counts: np.ndarray) -> np.ndarray:
+    """How many words of parities records of these sizes have."""
+    return sum((np.where(counts >= least, width, 0) for width, least in PARITY_LEVELS), np.zeros(len(counts), np.int64))
+
+
+MET = "kind tinyint, a bigint, b bigint, parity array<bigint>, one binary, two binary"
+
+
+def _met(kind: int, a=None, b=None, parity=None, one=None, two=None, rows: int = 0) -> pa.Table:
+    rows = rows or len(a)
+    column = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.array(x, kind)
+    lists = parity if parity is not None else pa.nulls(rows, pa.list_(pa.int64()))
+    return pa.table([pa.array(np.full(rows, kind, np.int8)), column(a, pa.int64()), column(b, pa.int64()), lists, column(one, pa.binary()), column(two, pa.binary())], names=["kind", "a", "b", "parity", "one", "two"])
+
+
+def single_pairs(entries: Entries, rare: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one token that few texts hold; a token that a task found common has an entry of size 0."""
+    if not len(entries):
+        return
+    starts = np.flatnonzero(np.append(True, entries.label[1:] != entries.label[:-1]))
+    sizes = np.diff(np.append(starts, len(entries)))
+    ok = (entries.n[starts] > 0) & (sizes > 1) & (sizes <= rare)
+    ends = np.repeat(np.where(ok, starts + sizes, 0), sizes)
+    for i, j in runs(np.arange(1, len(entries) + 1), ends):
+        near = (entries.n[i] >= entries.n[j] * threshold - 1e-6) & sketches_near(entries, i, entries, j)
+        yield entries.key[i[near]], entries.key[j[near]]
+
+
+def meetings(rows: DataFrame, forest: Forest, rare: int = RARE) -> DataFrame:
+    """What meets in the buckets: candidate pairs, copies (representative, key), records with their parities, blocks of hot
+    groups that are still to be compared."""
+
+    def run(group: pa.Table) -> pa.Table:
+        kinds = group.column("kind").to_numpy()
+        bases, blobs = group.column("base").to_numpy(), group.column("blob")
+        of = lambda kind: [(int(bases[i]), blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == kind)]
+        out, hot = [], []
+        entries = unpacked(*(list(x) for x in zip(*of(LABELS)))) if (kinds == LABELS).any() else unpacked([], [])
+        singles = unpacked(*(list(x) for x in zip(*of(SINGLES)))) if (kinds == SINGLES).any() else unpacked([], [])
+        out.append(_met(PAIRS, *distinct_pairs(chain(self_pairs(entries, forest, hot), single_pairs(singles, rare, forest.threshold)))))
+        if hot:
+            out.append(_met(BLOCKS, a=[d for d, _, _ in hot], one=[x for _, x, _ in hot], two=[y for _, _, y in hot]))
+        copies = [np.frombuffer(b, np.int64).reshape(-1, 3) for _, b in of(COPIES)]
+        if copies:
+            x = np.concatenate(copies)
+            x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+            new = np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))
+            rep = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0)), 2]
+            several = ~new | np.append(~new[1:], False)
+            out.append(_met(COPIES, rep[several], x[several, 2]))
+        for _, blob in of(LOCAL):
+            x = np.frombuffer(blob, np.int64).reshape(-1, 2)
+            out.append(_met(LOCAL, x[:, 0], x[:, 1]))
+        for n, blob in of(RECORDS):
+            x = np.frombuffer(blob, np.int64)
+            ends = np.append(0, np.cumsum(parity_words(x[n : 2 * n]))).astype(np.int32)
+            out.append(_met(RECORDS, x[:n], x[n : 2 * n], pa.ListArray.from_arrays(pa.array(ends), pa.array(x[2 * n :]))))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("bucket").applyInArrow(run, MET)
 
 
 def parities(tokens: np.ndarray, row: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -193,75 +283,63 @@ def apart(pa_, pb_) -> F.Column:
     return bound
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-
-
-def _sorted_tokens(rows) -> np.ndarray:
-    return np.sort(np.fromiter((r[0] for r in rows), dtype=np.int64).view(np.uint64))
-
-
 class Index:
-    """The two tables that links are found with: what records are compared by, and the representative of each copy."""
+    """Where records met, and what comes of it: candidate pairs, copies and the records' parities."""
 
-    def __init__(self, df: DataFrame, key: str, text: str, within: str | None = None):
+    def __init__(self, df: DataFrame, key: str, text: str, within: str | None = None, threshold: float = THRESHOLD):
+        integer_key(df.schema, key)
+        spark, self.threshold = df.sparkSession, threshold
+        self.forest = Forest(TREES, DEEPEST, MISS, threshold)
         scope = F.col(within).cast("string") if within else F.lit("")
         self.records = df.select(F.col(key).alias("key"), F.coalesce(scope, F.lit("\0")).alias("within"), F.col(text).alias("text"))
-        shares = materialise(token_shares(self.records), "tokens")
-        total = F.broadcast(shares.where("token = 0").select("within", F.col("df").alias("total")))  # one row per scope
-        shares = shares.where("token <> 0")
-        # The shares of one scope's tokens sum to the mean length of its records, so at most mean length / share tokens reach a share.
-        common = shares.join(total, "within").where((F.col("df") > F.col("total") * KNOWN_SHARE) & (F.col("df") > RARE)).select("token").collect()
-        known = _sorted_tokens(common)
-        largest = total.agg(F.max("total")).first()[0]
-        self.table = materialise(index_records(self.records, known, *plan(largest or 0, least=WHOLE_K, spare=0)), "records")
-        self.rare = shares.where(F.col("df").between(2, RARE)).select("token")
-        copies = self.table.groupBy("fp").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "rep")
-        #: (fp, rep, key): every record that has copies, with the representative of its copies.
-        self.copies = materialise(self.table.select("fp", "key").join(copies, "fp"), "copies")
-
-    def representatives(self) -> DataFrame:
-        spare = self.copies.where("key <> rep").select("key")
-        return self.table.join(spare, "key", "left_anti")
-
-    def candidates(self, threshold: float = THRESHOLD) -> DataFrame:
-        """(a, b): pairs of representatives that share a combination or a rare token, a < b, each once.
-
-        An entry carries its record's size and a parity of 48 classes in one number, which rules most pairs out as they meet.
-        """
-        folded = F.lit(0).cast("bigint")
-        for i in range(PARITY_LEVELS[0][0]):
-            folded = folded.bitwiseXOR(F.col("parity")[i])
-        brief = folded.bitwiseAND(F.lit(~MOST_SIZE)).bitwiseOR(F.least("n", F.lit(MOST_SIZE)).cast("bigint"))
-        reps = self.representatives().select("key", "sigs", "rare", brief.alias("brief"))
-        combined = reps.select(F.explode("sigs").alias("sig"), "key", "brief")
-        single = reps.select(F.explode("rare").alias("sig"), "key", "brief").join(self.rare.withColumnRenamed("token", "sig"), "sig", "left_semi")
-        entries = combined.unionByName(single)
-        a = entries.select("sig", F.col("key").alias("a"), F.col("brief").alias("x"))
-        b = entries.select("sig", F.col("key").alias("b"), F.col("brief").alias("y"))
-        x, y = F.col("x").bitwiseAND(F.lit(MOST_SIZE)), F.col("y").bitwiseAND(F.lit(MOST_SIZE))
-        differ = F.bit_count(F.shiftrightunsigned(F.col("x").bitwiseXOR(F.col("y")), 16))
-        near = (F.least(x, y) >= F.greatest(x, y) * threshold - 1e-6) & (differ <= (x + y) * ((1 - threshold) / (1 + threshold)) + 1e-6)
-        unknown = F.greatest(x, y) == MOST_SIZE
-        return a.join(b, "sig").where((F.col("a") < F.col("b")) & (unknown | near)).select("a", "b").distinct()
-
-    def near(self, pairs: DataFrame, threshold: float) -> DataFrame:
+        buckets = bucket_count(spark, self.records.where("text is not null").count())
+        self.met = materialise(meetings(index_rows(self.records, self.forest, buckets), self.forest), "met")
+        #: (key, n, parity): what different texts are compared by, and the key that stands for each of them in a task.
+        self.table = self.met.where(F.col("kind") == RECORDS).select(F.col("a").alias("key"), F.col("b").alias("n"), "parity")
+        local = self.met.where(F.col("kind") == LOCAL).select(F.col("a").alias("of"), F.col("b").alias("key"))
+        among = self.met.where(F.col("kind") == COPIES).select(F.col("a").alias("rep"), F.col("b").alias("key"))
+        found = local.join(among.withColumnRenamed("key", "of"), "of", "left").select(F.coalesce("rep", "of").alias("rep"), "key", "of")
+        own = found.select("rep", F.col("of").alias("key"))
+        #: (rep, key): every record that has copies, with the representative of its copies, which is one of them.
+        self.copies = materialise(among.unionByName(found.select("rep", "key")).unionByName(own).distinct(), "copies")
+        self.keys = self.table.select("key").unionByName(local.select("key")).distinct()
+
+    def candidates(self) -> DataFrame:
+        """(a, b): pairs of representatives that share a combination or a rare token, a < b, each once."""
+        forest = self.forest
+
+        def run(batches):
+            for batch in batches:
+                for d, one, two in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    a, b = distinct_pairs(block_pairs(d, one, two, forest))
+                    yield pa.RecordBatch.from_arrays([long_array(a), long_array(b)], names=["a", "b"])
+
+        pairs = self.met.where(F.col("kind") == PAIRS).select("a", "b")
+        hot = self.met.where(F.col("kind") == BLOCKS).select("a", "one", "two")
+        if not hot.isEmpty():
+            blocks = hot.repartition(F.xxhash64("one", "two")).mapInArrow(run, "a bigint, b bigint")
+            pairs = pairs.unionByName(blocks)
+        return pairs.distinct()
+
+    def near(self, pairs: DataFrame) -> DataFrame:
         """Keep pairs that the parities do not rule out: |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)."""
-        side = self.table.select("key", "within", "n", "parity")
-        one = side.select(F.col("key").alias("a"), F.col("within").alias("wa"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-        two = side.select(F.col("key").alias("b"), F.col("within").alias("wb"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-        most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
-        return pairs.join(one, "a").join(two, "b").where((F.col("wa") == F.col("wb")) & sizes & (apart(F.col("pa"), F.col("pb")) <= most)).select("a", "b")
-
-    def links(self, threshold: float = THRESHOLD) -> DataFrame:
+        t = self.threshold
+        one = self.table.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+        two = self.table.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+        most = (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-6
+        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6
+        return pairs.join(one, "a").join(two, "b").where(sizes & (apart(F.col("pa"), F.col("pb")) <= most)).select("a", "b")
+
+    def links(self) -> DataFrame:
         """(a, b, similarity): verified pairs of representatives; pairs of copies of one record are not among them."""
-        pairs = materialise(self.near(self.candidates(threshold), threshold), "candidates")
+        pairs = materialise(self.near(self.candidates()), "candidates")
         texts = self.records.select("key", "text")
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        return verified(both, threshold)
+        return verified(both, self.threshold)
+
+
+def bucket_count(spark: SparkSession, records: int, per_bucket: int = PER_BUCKET) -> int:
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // per_bucket))
 
 
 def verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -279,27 +357,30 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def near_pairs(df: DataFrame, key: str, text: str, within: str, threshold: float = THRESHOLD) -> DataFrame:
     """(within, key_a, key_b): every pair of rows of one scope that is near enough, copies expanded, smaller key first."""
-    index = Index(df, key, text, within)
-    links = materialise(index.links(threshold), "links").select("a", "b")
+    index = Index(df, key, text, within, threshold)
+    links = materialise(index.links(), "links").select("a", "b")
     copies = index.copies.select("rep", "key")
     same = copies.select("rep", F.col("key").alias("key_a")).join(copies.select("rep", F.col("key").alias("key_b")), "rep").where("key_a < key_b").select("key_a", "key_b")
     a = links.join(copies.select(F.col("rep").alias("a"), F.col("key").alias("ka")), "a", "left")
     b = a.join(copies.select(F.col("rep").alias("b"), F.col("key").alias("kb")), "b", "left")
     x, y = F.coalesce("ka", "a"), F.coalesce("kb", "b")
     pairs = b.select(F.least(x, y).alias("key_a"), F.greatest(x, y).alias("key_b")).unionByName(same)
-    scopes = index.table.select(F.col("key").alias("key_a"), "within")
-    return pairs.join(scopes, "key_a").select("within", "key_a", "key_b")
+    kind = df.schema[key].dataType.simpleString()
+    scopes = index.records.select(F.col("key").alias("key_a"), "within").distinct()
+    out = pairs.join(scopes, "key_a").select("within", "key_a", "key_b")
+    return out.select("within", F.col("key_a").cast(kind), F.col("key_b").cast(kind))
 
 
 def groups(df: DataFrame, key: str, text: str, within: str, threshold: float = THRESHOLD) -> DataFrame:
     """(within, key, group_key, links): one row per row with visible text. ``group_key`` is the smallest key of the rows that
     links connect it with (its own if none), ``links`` the number of different texts it is linked with."""
-    index = Index(df, key, text, within)
-    links = materialise(index.links(threshold), "links").select("a", "b")
+    index = Index(df, key, text, within, threshold)
+    links = materialise(index.links(), "links").select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     member = components(links)
-    rep = index.table.select("within", "key", "fp").join(index.copies.select("key", "rep"), "key", "left").select("within", "key", F.coalesce("rep", "key").alias("rep"))
+    scopes = index.records.select("key", "within").distinct()
+    rep = index.keys.join(index.copies.select("key", "rep"), "key", "left").join(scopes, "key").select("within", "key", F.coalesce("rep", "key").alias("rep"))
     out = rep.join(member.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree.select(F.col("a").alias("rep"), "links"), "rep", "left")
     return out.select("within", "key", F.coalesce("root", "rep").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 

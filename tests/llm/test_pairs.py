@@ -1,13 +1,14 @@
 """Near-duplicates (1), new batches against history (5), similar vectors (6): against brute force on small tables."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from ragmill.llm import history, knn, neardup, words
+from ragmill.llm import history, knn, neardup, prefixes, words
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -110,12 +111,6 @@ def test_repeats_of_texts_of_mostly_common_words(spark):
     assert {(r.in_no, r.batch) for r in got.collect()} == repeats_brute(old, new) == {(i, 1) for i in range(100)}
 
 
-def test_combinations_of_whole_texts_keep_the_miss():
-    for n in range(5, 12):
-        k, orders = neardup.plan(10**n, least=neardup.WHOLE_K, spare=0)
-        assert (1 - 0.75**k) ** orders <= neardup.MISS
-
-
 def test_near_pairs_within_scopes_and_clashing_names(spark):
     rows = [(1, "a b c d", "x", 1), (2, "a b c d", "x", 1), (3, "a b c d", "y", 1), (4, "d c b a", "y", 1), (5, "a b c d", None, 1), (6, "a b c d", None, 1)]
     df = spark.createDataFrame(rows, "n long, sig string, fp string, key int")
@@ -132,13 +127,39 @@ def test_groups(spark):
     assert got == {0: (0, 2), 1: (0, 3), 2: (0, 4), 3: (0, 4), 4: (0, 3), 5: (0, 2), 6: (6, 0), 8: (6, 0)}
 
 
-def test_combinations_grow_with_the_collection():
-    assert neardup.plan(0) == neardup.plan(1_000) == neardup.plan(200_000) == (5, 12)
-    sizes = [neardup.plan(10**n) for n in range(5, 12)]
-    assert [k for k, _ in sizes] == sorted(k for k, _ in sizes) and sizes[-1][0] == 15
-    for k, orders in sizes:
-        shared = 0.75 ** (k + 1) + (k + 1) * 0.25 * 0.75**k
-        assert (1 - shared) ** orders <= neardup.MISS
+def test_depths_keep_the_miss_for_every_size():
+    forest = prefixes.Forest(neardup.TREES, neardup.DEEPEST, neardup.MISS)
+    for n in range(4, 500):
+        d = int(forest.depth(np.array([n]))[0])
+        for union in range(n, 8 * n // 7 + 1):
+            common = -(-3 * union // 4)
+            shared = math.comb(common, d) / math.comb(union, d)
+            assert d == prefixes.HEAD or (1 - shared) ** forest.trees <= forest.miss
+
+
+def test_first_tokens_are_the_first_of_each_order():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 90, 60)
+    tokens = rng.integers(0, 2**32, counts.sum(), dtype=np.uint64).astype(np.uint32)
+    got = prefixes.first_tokens(tokens, counts, 3, 5)
+    single = [prefixes.first_tokens(tokens[i : i + 1], np.array([1]), 3, 1)[0, :, 0] for i in range(len(tokens))]
+    ends = np.cumsum(counts)
+    for r, (start, end) in enumerate(zip(ends - counts, ends)):
+        for j in range(3):
+            want = sorted(int(single[i][j]) for i in range(start, end))[:5]
+            assert list(got[r, j]) == want + [2**32 - 1] * (5 - len(want))
+
+
+def test_entries_per_record_are_the_same_at_every_size():
+    # Labels, and what a text's own tokens add: nothing in the plan knows how many records there are.
+    rng = np.random.default_rng(5)
+    forest = prefixes.Forest(neardup.TREES, neardup.DEEPEST, neardup.MISS)
+    for rows in (10, 1_000):
+        counts = np.full(rows, 60)
+        tokens = rng.integers(0, 2**63, counts.sum()).astype(np.uint64)
+        prints = rng.integers(0, 2**63, (rows, 2)).astype(np.uint64)
+        blobs = list(neardup.entry_parts(forest, np.arange(rows), prints, tokens, counts, 1_000))
+        assert sum(len(b) for _, _, b in blobs) == rows * neardup.TREES * 26
 
 
 def test_components_of_a_long_chain(spark):
