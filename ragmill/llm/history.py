@@ -1,91 +1,55 @@
 """Problem 5: checking new batches against all history without reading it again.
 
-A prefix-tree hash forest. A text's label in a tree is the sequence of the first tokens it has under ``DEPTH`` global orders;
-the forest keeps, for ``TREES`` trees, the labels of everything accepted, sorted, in runs: a batch adds a run, and
-``merge_runs`` makes one of many. A batch finds what shares a prefix of its labels in the sorted runs; prefixes are
-widened (made shorter) from the full label down to the longest one whose expected recall at the threshold reaches the
-target, and what is found is verified, deepest agreement first, on sizes, parities and at last whole texts. A search reads
-the labels, some 20 bytes per tree, and the texts of candidates only; texts of equal word multisets have one label.
+A prefix-tree hash forest. A text's label in a tree is the sequence of the first tokens it has in the tree's order of all
+tokens. The forest keeps the labels of everything accepted in runs on the shared file system, cut into buckets and sorted;
+beside them, sorted by key, ids and texts. A batch adds a run and ``merge_runs`` makes one of many.
+
+A batch's labels go to their buckets, and each bucket's task opens the sorted runs itself: from the first and last label of
+every block it sees which blocks it needs, reads only those, and finds by range search what shares a prefix with each entry. The
+prefix is widened from the whole label down to the longest one whose expected recall at the threshold reaches the target for
+the text's size. What is found passes sizes and sketches, then parities, and is verified on whole texts, for which only the
+row groups that hold candidates are read. Neither texts nor labels of the history are scanned, whatever its length.
 
 Defined results: a null or blank id, and a null or blank text, match nothing; ids compare without case and surrounding white
 space; a text without any word matches equal texts only; of rows that repeat each other the first by batch, then by row
-number stays (a null batch comes before all others); no history or no batch gives no matches.
+number stays (a null batch comes before all others); no history or no batch gives no matches; keys are whole numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragmill.llm import words
-from ragmill.llm.neardup import THRESHOLD, apart, parities, verified
-from ragmill.session import materialise, scratch_path
-
-TREES, DEPTH = 30, 6
-#: Components of a label that make the column runs are sorted by; those after it fill one number, 16 bits each, whose last
-#: 16 bits are the text's size.
-HEAD, MOST_SIZE = 3, (1 << 16) - 1
-#: Rows of a batch whose sizes and parities (some 150 bytes each) are sent to every task.
-SMALL_BATCH = 250_000
-#: Expected share of the texts at the threshold that a search finds.
-RECALL = 0.999
-
+from ragmill.llm import neardup, prefixes, words
+from ragmill.llm.neardup import LABELS, LOCAL, PAIRS, Parts, Unit, entry_parts, met_rows, parities, shuffle_rows, verified
+from ragmill.llm.prefixes import Entries, cross_pairs, distinct_pairs, integer_key, packed, self_pairs
+from ragmill.session import materialise, released, scratch_path
 
-def prefix_depth(trees: int, similarity: float, recall: float) -> int:
-    """The longest prefix whose equality in any of ``trees`` labels finds the share ``recall`` of texts so similar."""
-    for depth in range(DEPTH, HEAD, -1):
-        if 1 - (1 - similarity**depth) ** trees >= recall:
-            return depth
-    return HEAD
+#: Trees, tokens of a label, and the expected share of the texts at the threshold that a search finds.
+TREES, DEEPEST, RECALL = 40, 6, 0.999
+#: Entries per block, blocks per row group and texts per row group of a run: what a lookup reads at the least.
+BLOCK, BLOCKS_TOGETHER, TEXTS_TOGETHER = 4_096, 4, 500
+#: Records per bucket and per slot of texts that their numbers aim at when a forest is made.
+PER_BUCKET, PER_SLOT = 40_000, 40_000
+# Kinds of rows beside those of problem 1: marks are hashes of word multisets and of ids.
+PRINTS, IDS, HELD, HELD_IDS, READ = range(20, 25)
+WINDOWS = "bucket int, kind tinyint, first bigint, last bigint, base bigint, blob binary"
 
 
-def label_texts(records: DataFrame) -> DataFrame:
-    """(key, n, fp, parity, labels): what texts are found and compared by; rows without visible text are left out."""
-    kind = records.schema["key"].dataType.simpleString()
+def plain_id(column: Column) -> Column:
+    """An id without case and surrounding white space; null if nothing is left."""
+    space = r"[\s\p{Z}\u200B\uFEFF\x1c-\x1f\x85]"
+    return F.nullif(F.lower(F.regexp_replace(column, f"^{space}+|{space}+$", "")), F.lit(""))
 
-    def run(batches):
-        import xxhash
 
-        hashes = words.WordHashes()
-        for part, texts, salts in _sliced(batches):
-            rows = len(texts)
-            tokens, row, counts = words.multiset(texts, salts, hashes)
-            sums = [np.zeros(rows, dtype=np.uint64) for _ in range(2)]
-            with np.errstate(over="ignore"):
-                for i, s in enumerate(sums):
-                    np.add.at(s, row, words.mix(tokens + np.uint64(i + 1)))
-            for i in np.flatnonzero(counts == 0):
-                sums[0][i], sums[1][i] = (np.uint64(xxhash.xxh3_64_intdigest(texts[i] + x)) for x in ("", "."))
-            heads = [np.zeros(0, np.int64)] * rows
-            present, starts = np.unique(row, return_index=True)
-            if len(present):
-                first = words.minima(tokens, starts, TREES * DEPTH).reshape(-1, TREES, DEPTH)
-                with np.errstate(over="ignore"):
-                    place = np.arange(TREES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-                    head = words.mix(place * words.GOLDEN)[None, :]
-                    for d in range(HEAD):
-                        head = words.mix(head ^ first[:, :, d])
-                    rest = np.zeros(head.shape, dtype=np.uint64)
-                    for d in range(HEAD, DEPTH):
-                        rest = (rest << np.uint64(16)) | (words.mix(first[:, :, d]) >> np.uint64(48))
-                    rest = (rest << np.uint64(16)) | np.minimum(counts[present], MOST_SIZE).astype(np.uint64)[:, None]
-                both = np.stack([head, rest], axis=2).reshape(len(present), -1).view(np.int64)
-                for i, b in zip(present, both):
-                    heads[i] = b
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(counts.astype(np.int32)), pa.array([a.tobytes() + b.tobytes() for a, b in zip(*sums)], pa.binary()), _lists(parities(tokens, row, counts)), _lists(heads)],
-                names=["key", "n", "fp", "parity", "labels"],
-            )
-
-    return records.mapInArrow(run, f"key {kind}, n int, fp binary, parity array<bigint>, labels array<bigint>")
-
-
-def entries(labelled: DataFrame) -> DataFrame:
-    """(head, rest, key): one row per tree."""
-    pair = F.posexplode(F.filter("labels", lambda _, i: i % 2 == 0)).alias("i", "head")
-    return labelled.select("key", "labels", pair).select("head", F.col("labels")[F.col("i") * 2 + 1].alias("rest"), "key")
+def as_rows(df: DataFrame, key: str, id_: str, text: str) -> DataFrame:
+    """(key, id, text): ids in their plain form."""
+    integer_key(df.schema, key)
+    return df.select(F.col(key).cast("bigint").alias("key"), plain_id(F.col(id_)).alias("id"), F.col(text).alias("text"))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -93,143 +57,339 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.lit("").alias("within"), F.col(text).alias("text"))
-
-
-class Forest:
-    """The persisted labels of everything accepted, under a folder of the shared file system."""
+def _marks(label: np.ndarray, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    zero = np.zeros(len(keys), np.uint64)
+    return packed(label >> np.uint64(16), keys, n, zero, zero.astype(np.uint32), zero.astype(np.uint16), (label % np.uint64(buckets)).astype(np.int32))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
 
-    @classmethod
-    def create(cls, path: str, history: DataFrame, key: str, text: str) -> Forest:
-        """A forest over ``history``."""
-        forest = cls(history.sparkSession, path)
-        forest.append(history, key, text)
-        return forest
+def mark_rows(rows: DataFrame, forest: prefixes.Forest, buckets: int, asks: bool) -> DataFrame:
+    """What the tasks hand out of rows (key, id, text), packed by bucket: labels and hashes of the different texts, hashes of
+    ids; if they ask, also copies and parities."""
 
-    def _runs(self, kind: str) -> list[str]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.mkdirs(at)
-        found = files.listStatus(at)
-        return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith(kind + "-"))
+    def handed(unit: Unit) -> Iterator[pa.RecordBatch]:
+        keys, prints, tokens, row, counts, local, copy = unit.collapsed()
+        out = [(b, LABELS, base, blob) for b, base, blob in entry_parts(forest, keys, prints, tokens, counts, buckets)]
+        sizes = np.minimum(counts, prefixes.MOST_SIZE).astype(np.uint16)
+        out += [(b, PRINTS, base, blob) for b, base, blob in _marks(prints[:, 0], keys, sizes, buckets)]
+        if asks:
+            out += neardup.shared_rows(keys, prints, tokens, row, counts, local, copy, buckets)
+        for i in range(0, len(out), 2_000):
+            yield shuffle_rows(out[i : i + 2_000])
 
-    def label(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        return label_texts(_texts(df, key, text))
+    def run(batches):
+        import xxhash
 
-    def append(self, df: DataFrame, key: str, text: str) -> None:
-        """Add a run with the rows of ``df``, one per word multiset."""
-        self.add(materialise(self.label(df, key, text), "labels"))
+        hashes, unit = words.WordHashes(), Unit()
+        for batch in batches:
+            known = [(k, i) for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and k is not None]
+            if known:
+                hashed = np.fromiter((xxhash.xxh3_64_intdigest(i.encode("utf-8", "surrogatepass")) for _, i in known), np.uint64, len(known))
+                keys = np.fromiter((k for k, _ in known), np.int64, len(known))
+                yield shuffle_rows([(b, IDS, base, blob) for b, base, blob in _marks(hashed, keys, np.ones(len(keys), np.uint16), buckets)])
+            blank = pa.array([""] * batch.num_rows)
+            part = pa.RecordBatch.from_arrays([batch.column(0), blank, batch.column(2)], names=["key", "within", "text"])
+            for keys, texts, salts in neardup.sliced([part]):
+                unit.add(keys, texts, salts, hashes)
+                if unit.full():
+                    yield from handed(unit)
+                    unit = Unit()
+        if unit.records:
+            yield from handed(unit)
+
+    return rows.select("key", "id", "text").mapInArrow(run, neardup.SHUFFLED)
+
+
+def sorted_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of each bucket as sorted blocks; of equal entries one stays."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, out = Parts(group), []
+        bucket = group.column("bucket")[0].as_py()
+        for kind in (LABELS, PRINTS, IDS):
+            entries = parts.entries(kind)
+            for i in range(0, len(entries), block):
+                part = entries.take(slice(i, i + block))
+                out.append((bucket, kind, int(part.label[0]), int(part.label[-1]), *part.blob()))
+        columns = list(zip(*out)) or [()] * 6
+        types = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "kind", "first", "last", "base", "blob"])
+
+    return rows.groupBy("bucket").applyInArrow(run, WINDOWS)
+
+
+def _files(paths: list[str]):
+    """Open Parquet files of folders of the shared file system, in whatever file system their addresses name."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    for path in paths:
+        system, at = fs.FileSystem.from_uri(path)
+        for info in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                yield pq.ParquetFile(system.open_input_file(info.path))
+
+
+class Window:
+    """Reads what is needed of one bucket of the runs; counts the bytes."""
+
+    def __init__(self, runs: list[str], bucket: int):
+        self.files = list(_files([f"{run}/labels/bucket={bucket}" for run in runs]))
+        self.read = 0
+        self.blocks = []
+        for file in self.files:
+            for group in range(file.num_row_groups):
+                seen = file.read_row_group(group, columns=["kind", "first", "last"])
+                self.blocks.append((file, group, *(seen.column(c).to_numpy() for c in ("kind", "first", "last"))))
+
+    def entries(self, kind: int, low: np.ndarray, high: np.ndarray) -> Entries:
+        """The entries of the blocks that the ranges [low, high) touch."""
+        bases, blobs = [], []
+        order = np.argsort(low)
+        low, most = low[order].astype(np.int64), np.maximum.accumulate(high[order].astype(np.int64)) if len(low) else high
+        for file, group, kinds, first, last in self.blocks:
+            at = np.searchsorted(low, last, side="right")
+            touched = (kinds == kind) & (at > 0) & (np.append(0, most)[at] > first)
+            if touched.any():
+                meta = file.metadata.row_group(group)
+                self.read += sum(meta.column(c).total_compressed_size for c in range(meta.num_columns))
+                table = file.read_row_group(group, columns=["base", "blob"])
+                base, blob = table.column("base").to_pylist(), table.column("blob")
+                for i in np.flatnonzero(touched):
+                    bases.append(base[i])
+                    blobs.append(blob[int(i)].as_py())
+        return prefixes.unpacked(bases, blobs)
+
+
+def equal_marks(asked: Entries, held: Entries) -> tuple[np.ndarray, np.ndarray]:
+    """(keys asked, keys held) of entries with the same mark."""
+    first, last = np.searchsorted(held.label, asked.label), np.searchsorted(held.label, asked.label, side="right")
+    pairs = [(asked.key[i], held.key[j]) for i, j in prefixes.runs(first, last)]
+    return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+
+
+def lookups(rows: DataFrame, forest: prefixes.Forest, runs: list[str]) -> DataFrame:
+    """What a batch's entries meet: in the runs (held), and among themselves."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts, hot = Parts(group), []
+        asked, prints, ids = parts.entries(LABELS), parts.entries(PRINTS), parts.entries(IDS)
+        window = Window(runs, group.column("bucket")[0].as_py())
+        width = np.uint64(1) << (np.uint64(forest.bits) * (forest.deepest - forest.depth(asked.n)).astype(np.uint64))
+        low = asked.label // width * width
+        held = window.entries(LABELS, low, low + width)
+        near = [(a, b) for a, b in cross_pairs(asked, held, forest) if len(a)]
+        one = np.uint64(1)
+        near.append(equal_marks(prints, window.entries(PRINTS, prints.label, prints.label + one)))
+        a, b = (np.concatenate(x) for x in zip(*near))
+        a, b = prefixes.unique_pairs(a, b)
+        same = equal_marks(ids, window.entries(IDS, ids.label, ids.label + one))
+        own = distinct_pairs(self_pairs(asked, forest, hot))
+        tables = [met_rows(HELD, a, b), met_rows(HELD_IDS, *same), met_rows(PAIRS, *own), met_rows(READ, [window.read])]
+        return pa.concat_tables([*tables, *parts.passed_on(), *neardup.hot_rows(hot)])
+
+    return rows.groupBy("bucket").applyInArrow(run, neardup.MET)
+
+
+def texts_held(pairs: DataFrame, runs: list[str], threshold: float) -> DataFrame:
+    """(a, b, tb, read) of pairs (slot, a, b, id, n, parity) that stay: with an id, those where the row held has it (tb is null);
+    without, those that sizes and parities leave, with the text held. Only row groups with such rows are read."""
+
+    def run(group: pa.Table) -> pa.Table:
+        slot, key = group.column("slot")[0].as_py(), group.column("b").to_numpy()
+        wanted, read, rows = np.unique(key), 0, []
+        for file in _files([f"{run}/items/slot={slot}" for run in runs]):
+            names = file.schema_arrow.names
+            at = names.index("key")
+            for g in range(file.num_row_groups):
+                meta = file.metadata.row_group(g)
+                stats = meta.column(at).statistics
+                if stats is not None and stats.has_min_max and np.searchsorted(wanted, stats.min) == np.searchsorted(wanted, stats.max, side="right"):
+                    continue
+                keys = file.read_row_group(g, columns=["key"]).column("key").to_numpy()
+                hit = np.flatnonzero(words.in_sorted(keys, wanted))
+                if len(hit):
+                    read += sum(meta.column(c).total_compressed_size for c in range(meta.num_columns))
+                    table = file.read_row_group(g, columns=["key", "id", "text"]).take(pa.array(hit))
+                    rows.append(table)
+        held = pa.concat_tables(rows) if rows else pa.table({"key": pa.array([], pa.int64()), "id": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        place = {}
+        for i, k in enumerate(held.column("key").to_pylist()):
+            place.setdefault(k, []).append(i)
+        ids, texts = held.column("id").to_pylist(), held.column("text").to_pylist()
+        tokens, row, counts = words.multiset([t or "" for t in texts], np.full(len(texts), neardup.salt_of(""), np.uint64), words.WordHashes())
+        bits = parities(tokens, row, counts)
+        out = []
+        most = (1 - threshold) / (1 + threshold)
+        for a, b, id_, n, parity in zip(*(group.column(c).to_pylist() if c != "parity" else group.column(c) for c in ("a", "b", "id", "n", "parity"))):
+            for i in place.get(b, ()):
+                if id_ is not None:
+                    if ids[i] == id_:
+                        out.append((a, b, None, 0))
+                elif texts[i] and min(n, counts[i]) >= max(n, counts[i]) * threshold - 1e-6:
+                    if neardup.parity_apart(np.asarray(parity.as_py(), np.int64), bits[i]) <= (n + int(counts[i])) * most + 1e-6:
+                        out.append((a, b, texts[i], 0))
+        out.append((None, None, None, read))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["a", "b", "tb", "read"])
+
+    return pairs.groupBy("slot").applyInArrow(run, "a bigint, b bigint, tb string, read bigint")
 
-    def add(self, labelled: DataFrame) -> None:
-        number = f"{len(self._runs('run')):06d}"
-        labelled.select("key", "n", "fp", "parity").write.parquet(f"{self.path}/meta-{number}")
-        reps = labelled.groupBy("fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-        spare = labelled.select("fp", F.col("key").alias("k")).join(reps, "fp").where("k <> key").select(F.col("k").alias("key"))
-        sorted_ = entries(labelled.join(spare, "key", "left_anti")).repartitionByRange("head", "rest").sortWithinPartitions("head", "rest")
-        sorted_.write.parquet(f"{self.path}/run-{number}")
 
-    def merge_runs(self) -> None:
-        """One sorted run of all."""
-        for kind, order in (("run", ["head", "rest"]), ("meta", ["key"])):
-            old = self._runs(kind)
-            if len(old) > 1:
-                merged = self.spark.read.parquet(*old).repartitionByRange(*order).sortWithinPartitions(*order)
-                merged.write.parquet(f"{self.path}/merging")
-                for path in old:
-                    _remove(self.spark, path)
-                at = self.spark._jvm.org.apache.hadoop.fs.Path
-                at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(at(f"{self.path}/merging"), at(f"{self.path}/{kind}-000000"))
-
-    def meta(self) -> DataFrame:
-        return self.spark.read.parquet(*self._runs("meta"))
+class Forest:
+    """The persisted labels, ids and texts of everything accepted, under a folder of the shared file system.
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.parquet(*self._runs("run"))
-
-
-def prefix_pairs(a: DataFrame, b: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """(a, b, depth): keys of entries on both sides that agree on a prefix long enough, with the deepest agreement."""
-    depth = prefix_depth(TREES, threshold, recall)
-    # What must agree beyond the head is a join key too: frequent words make equal heads common.
-    lead = F.shiftrightunsigned("rest", 16 * (DEPTH - depth) + 16).alias("lead") if depth > HEAD else F.lit(0).alias("lead")
-    x = a.select("head", lead, F.col("rest").alias("ra"), F.col("key").alias("a"))
-    y = b.select("head", lead, F.col("rest").alias("rb"), F.col("key").alias("b"))
-    differ = F.col("ra").bitwiseXOR(F.col("rb"))
-    agree = F.lit(HEAD)
-    for d in range(HEAD + 1, DEPTH + 1):
-        agree = F.when(F.shiftrightunsigned(differ, 16 * (DEPTH - d) + 16) == 0, d).otherwise(agree)
-    na, nb = (F.col(c).bitwiseAND(F.lit(MOST_SIZE)) for c in ("ra", "rb"))
-    sizes = (F.greatest(na, nb) == MOST_SIZE) | (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-6)
-    met = x.join(y, ["head", "lead"]).where(sizes & (agree >= depth)).select("a", "b", agree.alias("depth"))
-    return met.groupBy("a", "b").agg(F.max("depth").alias("depth"))
-
-
-def near(pairs: DataFrame, meta_a: DataFrame, meta_b: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs that sizes and parities leave, deepest agreement first within a task.
-
-    Side a is a batch: while it is small (its rows are counted) its parities go to where the pairs are, so that the many
-    pairs move with nothing but their keys; beyond that they are joined by key.
+    A run is a folder ``run-<first>-<last>`` that counts once its marker file is there, and as long as no other run covers its
+    numbers; so appending and merging may break off anywhere without harm.
     """
-    one = meta_a.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    two = meta_b.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    if meta_a.count() <= SMALL_BATCH:
-        one = F.broadcast(one)
-    most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
-    left = pairs.join(two, "b").join(one, "a").where(apart(F.col("pa"), F.col("pb")) <= most)
-    return left.select("a", "b", "depth").sortWithinPartitions(F.desc("depth")).select("a", "b")
-
 
-def similar(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose whole texts reach the threshold; texts are (key, text)."""
-    pairs = materialise(pairs, "near")
-    both = pairs.join(texts_a.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts_b.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return verified(both, threshold)
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, texts_together: int = TEXTS_TOGETHER):
+        self.spark, self.path, self.block, self.texts_together = spark, path.rstrip("/"), block, texts_together
+        self.plan = prefixes.Forest(TREES, DEEPEST, 1 - RECALL)
+        name = next((n for n in self._names() if n.startswith("forest-")), None)
+        if name is None:
+            raise ValueError(f"no forest in {path}")
+        self.buckets, self.slots = (int(x) for x in name.split("-")[1:])
 
+    @classmethod
+    def create(cls, path: str, history: DataFrame, key: str, text: str, id_: str = "id", buckets: int | None = None, slots: int | None = None, **layout) -> Forest:
+        """A forest over ``history``. The numbers of buckets and slots stay; choose them for the size the forest will have."""
+        spark, n = history.sparkSession, history.count()
+        buckets, slots = buckets or neardup.bucket_count(spark, n, PER_BUCKET), slots or neardup.bucket_count(spark, n, PER_SLOT)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/forest-{buckets}-{slots}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+        forest = cls(spark, path, **layout)
+        forest.append(history, key, text, id_)
+        return forest
 
-def plain_id(column: Column) -> Column:
-    """An id without case and surrounding white space; null if nothing is left."""
-    space = r"[\s\p{Z}\u200B\uFEFF\x1c-\x1f\x85]"
-    return F.nullif(F.lower(F.regexp_replace(column, f"^{space}+|{space}+$", "")), F.lit(""))
+    def _names(self, path: str | None = None) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.path)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+    def _complete(self) -> list[tuple[int, int]]:
+        names = [n for n in self._names() if n.startswith("run-")]
+        return [tuple(int(x) for x in n.split("-")[1:]) for n in names if "_DONE" in self._names(f"{self.path}/{n}")]
+
+    def runs(self) -> list[str]:
+        """The folders of the runs that count."""
+        done = self._complete()
+        live = [(a, b) for a, b in done if not any((c, d) != (a, b) and c <= a and b <= d for c, d in done)]
+        return [f"{self.path}/run-{a:06d}-{b:06d}" for a, b in sorted(live)]
+
+    def _write(self, first: int, last: int, labels: DataFrame, items: DataFrame) -> None:
+        path = f"{self.path}/run-{first:06d}-{last:06d}"
+        blocks = lambda w, n: w.option("parquet.block.row.count.limit", n).option("compression", "zstd").mode("overwrite")
+        blocks(labels.write.partitionBy("bucket"), BLOCKS_TOGETHER).parquet(f"{path}/labels")
+        items = items.select("slot", "key", "id", "text").repartition("slot").sortWithinPartitions("slot", "key")
+        blocks(items.write.partitionBy("slot"), self.texts_together).parquet(f"{path}/items")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_DONE")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True).close()
+
+    def slot(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.slots)).cast("int").alias("slot")
+
+    def append(self, df: DataFrame, key: str, text: str, id_: str = "id") -> None:
+        """Add a run with the rows of ``df``."""
+        self.add(as_rows(df, key, id_, text))
+
+    def add(self, rows: DataFrame) -> None:
+        number = max((b for _, b in self._complete()), default=-1) + 1
+        with released(self.spark):
+            self._write(number, number, sorted_blocks(mark_rows(rows, self.plan, self.buckets, asks=False), self.block), rows.where("id is not null or text is not null").select("*", self.slot("key")))
 
+    def merge_runs(self) -> None:
+        """One sorted run of all. The old runs go after the new one counts."""
+        old = self.runs()
+        if len(old) < 2:
+            return
+        done = self._complete()
+        parts = [self.spark.read.parquet(f"{run}/labels").select("bucket", "kind", "base", "blob") for run in old]
+        items = [self.spark.read.parquet(f"{run}/items").select("slot", "key", "id", "text") for run in old]
+        for more in (parts, items):
+            while len(more) > 1:
+                more[:2] = [more[0].unionByName(more[1])]
+        with released(self.spark):
+            self._write(min(a for a, _ in done), max(b for _, b in done), sorted_blocks(parts[0], self.block), items[0])
+        for run in old:
+            _remove(self.spark, run)
 
-def repeats(history: DataFrame, incoming: DataFrame, history_key: str, key: str, batch: str, id_: str = "id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, batch): incoming rows that repeat, by id or text, a row of the history or an earlier incoming row that is
-    accepted itself. All batches are searched for at once and settled in their order afterwards."""
-    spark = history.sparkSession
-    forest = Forest.create(scratch_path(spark, "forest"), history, history_key, text)
-    rows = materialise(incoming.select(F.struct(F.col(batch).alias("batch"), F.col(key).alias("key")).alias("ord"), F.col(key).alias("key"), plain_id(F.col(id_)).alias("id"), F.col(text).alias("text")), "incoming")
-    labelled = materialise(forest.label(rows, "key", "text"), "incoming-labels")
-    # The first key of each word multiset stands for all of them.
-    reps = labelled.groupBy("fp").agg(F.min("key").alias("rep"))
-    of = materialise(labelled.select("key", "fp").join(reps, "fp").select("key", "rep", "fp"), "incoming-reps")
-    mine = materialise(entries(labelled.join(of.where("key = rep").select("key"), "key", "left_semi")), "incoming-entries")
-    meta = labelled.select("key", "n", "parity")
-    texts = rows.select("key", "text")
-    past = history.select(F.col(history_key).alias("key"), F.col(text).alias("text"))
-
-    old = similar(near(prefix_pairs(mine, forest.entries(), threshold, recall), meta, forest.meta(), threshold), texts, past, threshold)
-    known = old.select(F.col("a").alias("rep")).unionByName(of.join(forest.meta().select("fp"), "fp", "left_semi").select("rep")).distinct()
-    by_text = of.join(known, "rep", "left_semi").select("key")
-    by_id = rows.join(history.select(plain_id(F.col(id_)).alias("id")).where("id is not null"), "id", "left_semi").select("key")
-    hits = materialise(by_text.unionByName(by_id).distinct(), "hits")
-
-    pairs = prefix_pairs(mine, mine, threshold, recall).where("a < b")
-    new = materialise(similar(near(pairs, meta, meta, threshold), texts, texts, threshold).select("a", "b"), "new-links")
-    both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = rows.join(hits, "key", "left_anti").select("ord", "key", "id")
-    own_text = left.join(of, "key").select("ord", "rep")
-    # What a row is (own) and what it must not come after: its id, its word multiset, multisets near it.
-    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("mark")
-    marks = left.where("id is not null").select("ord", name("i", "id"), F.lit(True).alias("own"))
-    marks = marks.unionByName(own_text.select("ord", name("t", "rep"), F.lit(True).alias("own")))
-    marks = marks.unionByName(own_text.join(both.select(F.col("a").alias("rep"), "b"), "rep").select("ord", name("t", "b"), F.lit(False).alias("own")))
-    late = settle(materialise(marks, "marks"))
-    cases = rows.join(hits, "key", "left_semi").select("ord").unionByName(late)
-    return cases.select(F.col("ord.key").alias(key), F.col("ord.batch").alias(batch))
+    def entries(self) -> DataFrame:
+        """(bucket, kind, first, last, base, blob): the blocks of all runs."""
+        out = [self.spark.read.parquet(f"{run}/labels").select("bucket", "kind", "first", "last", "base", "blob") for run in self.runs()]
+        for more in out[1:]:
+            out[0] = out[0].unionByName(more)
+        return out[0]
+
+    def meet(self, rows: DataFrame) -> DataFrame:
+        """What rows (key, id, text) meet in the forest and among themselves."""
+        marked = mark_rows(rows, self.plan, self.buckets, asks=True)
+        return materialise(lookups(marked, self.plan, self.runs()), "met")
+
+    def held(self, rows: DataFrame, met: DataFrame) -> DataFrame:
+        """(a, b, tb, read): pairs of a row and a row held that ids, or sizes and parities, leave."""
+        table = neardup.records_met(met).select(F.col("key").alias("a"), F.col("n").cast("int").alias("n"), "parity")
+        near = met.where(F.col("kind") == HELD).select("a", "b").distinct().join(table.dropDuplicates(["a"]), "a")
+        near = near.select(self.slot("b"), "a", "b", F.lit(None).cast("string").alias("id"), "n", "parity")
+        same = met.where(F.col("kind") == HELD_IDS).select("a", "b").distinct().join(rows.select(F.col("key").alias("a"), "id"), "a")
+        same = same.select(self.slot("b"), "a", "b", "id", F.lit(0).alias("n"), F.lit(None).cast("array<bigint>").alias("parity"))
+        return materialise(texts_held(near.unionByName(same), self.runs(), self.plan.threshold), "held")
+
+    def find(self, batch: DataFrame, key: str, text: str, id_: str = "id") -> DataFrame:
+        """(a, b, how): rows of the batch and rows held that have the same id or whose texts are near."""
+        rows = materialise(as_rows(batch, key, id_, text), "batch")
+        return self._found(rows, self.held(rows, self.meet(rows)))
+
+    def _found(self, rows: DataFrame, held: DataFrame) -> DataFrame:
+        by_id = held.where("a is not null and tb is null").select("a", "b", F.lit("id").alias("how"))
+        both = held.where("tb is not null").join(rows.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+        return by_id.unionByName(verified(both, self.plan.threshold).select("a", "b", F.lit("text").alias("how")))
+
+    def repeats(self, incoming: DataFrame, key: str, batch: str, id_: str = "id", text: str = "text") -> DataFrame:
+        """(key, batch): incoming rows that repeat, by id or text, a row held or an earlier incoming row that is accepted
+        itself. All batches given are searched for at once and settled in their order afterwards."""
+        kinds = incoming.schema[key].dataType.simpleString()
+        integer_key(incoming.schema, key)
+        order = F.struct(F.col(batch).alias("batch"), F.col(key).cast("bigint").alias("key")).alias("ord")
+        rows = incoming.select(order, F.col(key).cast("bigint").alias("key"), plain_id(F.col(id_)).alias("id"), F.col(text).alias("text"))
+        rows = materialise(rows, "incoming")
+        met = self.meet(rows)
+        found = materialise(self._found(rows, self.held(rows, met)), "found")
+        copies = materialise(neardup.copies_met(met), "copies")
+        table = neardup.records_met(met)
+        locals_ = met.where(F.col("kind") == LOCAL).select(F.col("b").alias("key"))
+        of = table.select("key").unionByName(locals_).distinct().join(copies.select("key", "rep"), "key", "left")
+        of = materialise(of.select("key", F.coalesce("rep", "key").alias("rep")), "incoming-reps")
+        texts = rows.select("key", "text")
+
+        by_text = of.join(found.where("how = 'text'").select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select("key")
+        ids = rows.join(found.where("how = 'id'").select(F.col("a").alias("key")).distinct(), "key", "left_semi").select("id").distinct()
+        hits = materialise(by_text.unionByName(rows.join(ids, "id", "left_semi").select("key")).distinct(), "hits")
+
+        pairs = materialise(neardup.near(neardup.pairs_met(met, self.plan), table, self.plan.threshold), "near")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+        new = materialise(verified(both, self.plan.threshold).select("a", "b"), "new-links")
+        both = new.unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        left = rows.join(hits, "key", "left_anti").select("ord", "key", "id")
+        own_text = left.join(of, "key").select("ord", "rep")
+        # What a row is (own) and what it must not come after: its id, its word multiset, multisets near it.
+        name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("mark")
+        marks = left.where("id is not null").select("ord", name("i", "id"), F.lit(True).alias("own"))
+        marks = marks.unionByName(own_text.select("ord", name("t", "rep"), F.lit(True).alias("own")))
+        marks = marks.unionByName(own_text.join(both.select(F.col("a").alias("rep"), "b"), "rep").select("ord", name("t", "b"), F.lit(False).alias("own")))
+        late = settle(materialise(marks, "marks"))
+        cases = rows.join(hits, "key", "left_semi").select("ord").unionByName(late)
+        return cases.select(F.col("ord.key").cast(kinds).alias(key), F.col("ord.batch").alias(batch))
+
+    def take(self, incoming: DataFrame, key: str, batch: str, id_: str = "id", text: str = "text") -> DataFrame:
+        """``repeats``, after which the accepted rows are a run of the forest."""
+        cases = materialise(self.repeats(incoming, key, batch, id_, text), "cases")
+        self.append(incoming.join(cases.select(key), key, "left_anti"), key, text, id_)
+        return cases
+
+
+def repeats(history: DataFrame, incoming: DataFrame, history_key: str, key: str, batch: str, id_: str = "id", text: str = "text", forest: Forest | None = None) -> DataFrame:
+    """``Forest.repeats`` against ``history``; with a forest given, the history is in it and isn't read."""
+    forest = forest or Forest.create(scratch_path(incoming.sparkSession, "forest"), history, history_key, text, id_)
+    return forest.repeats(incoming, key, batch, id_, text)
 
 
 def settle(marks: DataFrame) -> DataFrame:

@@ -54,10 +54,14 @@ def visible(texts: pa.Array) -> np.ndarray:
     return np.fromiter((bool(t) and not t.isspace() for t in texts.to_pylist()), dtype=bool, count=len(texts))
 
 
-def _salts(within: list) -> np.ndarray:
+def salt_of(within: str) -> int:
     import xxhash
 
-    known = {w: xxhash.xxh3_64_intdigest(repr(w)) for w in set(within)}
+    return xxhash.xxh3_64_intdigest(repr(within))
+
+
+def _salts(within: list) -> np.ndarray:
+    known = {w: salt_of(w) for w in set(within)}
     return np.fromiter((known[w] for w in within), dtype=np.uint64, count=len(within))
 
 
@@ -136,6 +140,19 @@ def shuffle_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(base, pa.int64()), pa.array(blob, pa.binary())], names=["bucket", "kind", "base", "blob"])
 
 
+def shared_rows(keys, prints, tokens, row, counts, local, copy, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    """Rows of different texts' fingerprints and parities, and of the copies found in the task."""
+    out = []
+    for b, at in _by_bucket((prints[:, 1] % np.uint64(buckets)).astype(np.int32)):
+        out.append((b, COPIES, 0, np.concatenate([prints[at].view(np.int64), keys[at, None]], axis=1).tobytes()))
+    bits = parities(tokens, row, counts)
+    for b, at in _by_bucket((words.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)):
+        out.append((b, RECORDS, len(at), np.concatenate([keys[at], counts[at], *(bits[i] for i in at)]).tobytes()))
+    if len(local):
+        out.append((int(local[0] % buckets), LOCAL, 0, np.stack([local, copy], axis=1).tobytes()))
+    return out
+
+
 SHUFFLED = "bucket int, kind tinyint, base bigint, blob binary"
 
 
@@ -162,13 +179,7 @@ def index_rows(records: DataFrame, forest: Forest, buckets: int, rare: int = RAR
         zero = lambda x: np.concatenate([x[who], np.zeros(len(common), x.dtype)])
         mixed = words.mix(label)
         out += [(b, SINGLES, base, blob) for b, base, blob in packed(mixed >> np.uint64(16), np.concatenate([keys[who], np.full(len(common), keys.min())]), zero(n), zero(s), zero(t), zero(fp), (label % np.uint64(buckets)).astype(np.int32))]
-        for b, at in _by_bucket((prints[:, 1] % np.uint64(buckets)).astype(np.int32)):
-            out.append((b, COPIES, 0, np.concatenate([prints[at].view(np.int64), keys[at, None]], axis=1).tobytes()))
-        bits = parities(tokens, row, counts)
-        for b, at in _by_bucket((words.mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)):
-            out.append((b, RECORDS, len(at), np.concatenate([keys[at], counts[at], *(bits[i] for i in at)]).tobytes()))
-        if len(local):
-            out.append((int(local[0] % buckets), LOCAL, 0, np.stack([local, copy], axis=1).tobytes()))
+        out += shared_rows(keys, prints, tokens, row, counts, local, copy, buckets)
         for i in range(0, len(out), 2_000):
             yield shuffle_rows(out[i : i + 2_000])
 
@@ -197,14 +208,14 @@ def parity_words(counts: np.ndarray) -> np.ndarray:
     return sum((np.where(counts >= least, width, 0) for width, least in PARITY_LEVELS), np.zeros(len(counts), np.int64))
 
 
+#: Blocks of hot groups have the prefix's length as ``a`` and their entries' bases and blobs as ``parity``, ``one``, ``two``.
 MET = "kind tinyint, a bigint, b bigint, parity array<bigint>, one binary, two binary"
 
 
-def _met(kind: int, a=None, b=None, parity=None, one=None, two=None, rows: int = 0) -> pa.Table:
-    rows = rows or len(a)
-    column = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.array(x, kind)
-    lists = parity if parity is not None else pa.nulls(rows, pa.list_(pa.int64()))
-    return pa.table([pa.array(np.full(rows, kind, np.int8)), column(a, pa.int64()), column(b, pa.int64()), lists, column(one, pa.binary()), column(two, pa.binary())], names=["kind", "a", "b", "parity", "one", "two"])
+def met_rows(kind: int, a, b=None, parity=None, one=None, two=None) -> pa.Table:
+    column = lambda x, kind: pa.nulls(len(a), kind) if x is None else x if isinstance(x, pa.Array) else pa.array(x, kind)
+    values = [pa.array(np.full(len(a), kind, np.int8)), column(a, pa.int64()), column(b, pa.int64()), column(parity, pa.list_(pa.int64())), column(one, pa.binary()), column(two, pa.binary())]
+    return pa.table(values, names=["kind", "a", "b", "parity", "one", "two"])
 
 
 def single_pairs(entries: Entries, rare: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,36 +231,52 @@ def single_pairs(entries: Entries, rare: int, threshold: float) -> Iterator[tupl
         yield entries.key[i[near]], entries.key[j[near]]
 
 
-def meetings(rows: DataFrame, forest: Forest, rare: int = RARE) -> DataFrame:
-    """What meets in the buckets: candidate pairs, copies (representative, key), records with their parities, blocks of hot
-    groups that are still to be compared."""
+class Parts:
+    """The rows of one bucket by their kind."""
 
-    def run(group: pa.Table) -> pa.Table:
-        kinds = group.column("kind").to_numpy()
-        bases, blobs = group.column("base").to_numpy(), group.column("blob")
-        of = lambda kind: [(int(bases[i]), blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == kind)]
-        out, hot = [], []
-        entries = unpacked(*(list(x) for x in zip(*of(LABELS)))) if (kinds == LABELS).any() else unpacked([], [])
-        singles = unpacked(*(list(x) for x in zip(*of(SINGLES)))) if (kinds == SINGLES).any() else unpacked([], [])
-        out.append(_met(PAIRS, *distinct_pairs(chain(self_pairs(entries, forest, hot), single_pairs(singles, rare, forest.threshold)))))
-        if hot:
-            out.append(_met(BLOCKS, a=[d for d, _, _ in hot], one=[x for _, x, _ in hot], two=[y for _, _, y in hot]))
-        copies = [np.frombuffer(b, np.int64).reshape(-1, 3) for _, b in of(COPIES)]
+    def __init__(self, group: pa.Table):
+        self.kinds, self.bases, self.blobs = group.column("kind").to_numpy(), group.column("base").to_numpy(), group.column("blob").combine_chunks()
+
+    def of(self, kind: int) -> tuple[list[int], list[bytes]]:
+        at = np.flatnonzero(self.kinds == kind)
+        return self.bases[at].tolist(), [self.blobs[int(i)].as_py() for i in at]
+
+    def entries(self, kind: int) -> Entries:
+        return unpacked(*self.of(kind))
+
+    def passed_on(self) -> Iterator[pa.Table]:
+        """Copies (representative, key), those found within tasks, and records with their sizes and parities."""
+        copies = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in self.of(COPIES)[1]]
         if copies:
             x = np.concatenate(copies)
             x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
             new = np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))
             rep = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0)), 2]
             several = ~new | np.append(~new[1:], False)
-            out.append(_met(COPIES, rep[several], x[several, 2]))
-        for _, blob in of(LOCAL):
+            yield met_rows(COPIES, rep[several], x[several, 2])
+        for blob in self.of(LOCAL)[1]:
             x = np.frombuffer(blob, np.int64).reshape(-1, 2)
-            out.append(_met(LOCAL, x[:, 0], x[:, 1]))
-        for n, blob in of(RECORDS):
+            yield met_rows(LOCAL, x[:, 0], x[:, 1])
+        for n, blob in zip(*self.of(RECORDS)):
             x = np.frombuffer(blob, np.int64)
             ends = np.append(0, np.cumsum(parity_words(x[n : 2 * n]))).astype(np.int32)
-            out.append(_met(RECORDS, x[:n], x[n : 2 * n], pa.ListArray.from_arrays(pa.array(ends), pa.array(x[2 * n :]))))
-        return pa.concat_tables(out)
+            yield met_rows(RECORDS, x[:n], x[n : 2 * n], pa.ListArray.from_arrays(pa.array(ends), pa.array(x[2 * n :])))
+
+
+def hot_rows(hot: list) -> Iterator[pa.Table]:
+    if hot:
+        yield met_rows(BLOCKS, [d for d, _, _ in hot], parity=[[x[0], y[0]] for _, x, y in hot], one=[x[1] for _, x, _ in hot], two=[y[1] for _, _, y in hot])
+
+
+def meetings(rows: DataFrame, forest: Forest, rare: int = RARE) -> DataFrame:
+    """What meets in the buckets: candidate pairs, copies (representative, key), records with their parities, blocks of hot
+    groups that are still to be compared."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = Parts(group)
+        entries, singles, hot = parts.entries(LABELS), parts.entries(SINGLES), []
+        pairs = distinct_pairs(chain(self_pairs(entries, forest, hot), single_pairs(singles, rare, forest.threshold)))
+        return pa.concat_tables([met_rows(PAIRS, *pairs), *parts.passed_on(), *hot_rows(hot)])
 
     return rows.groupBy("bucket").applyInArrow(run, MET)
 
@@ -270,6 +297,16 @@ def parities(tokens: np.ndarray, row: np.ndarray, counts: np.ndarray) -> list[np
     return out
 
 
+def parity_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """The same bound as ``apart`` for two records."""
+    m, start, bound = min(len(a), len(b)), 0, 0
+    for width, _ in PARITY_LEVELS:
+        if start + width <= m:
+            bound = int(np.bitwise_count((a[start : start + width] ^ b[start : start + width]).view(np.uint64)).sum())
+        start += width
+    return bound
+
+
 def apart(pa_, pb_) -> F.Column:
     """A lower bound on how many tokens two records differ by, from the widest parities both have."""
     xor = lambda i: F.bit_count(pa_[i].bitwiseXOR(pb_[i]))
@@ -294,50 +331,62 @@ class Index:
         self.records = df.select(F.col(key).alias("key"), F.coalesce(scope, F.lit("\0")).alias("within"), F.col(text).alias("text"))
         buckets = bucket_count(spark, self.records.where("text is not null").count())
         self.met = materialise(meetings(index_rows(self.records, self.forest, buckets), self.forest), "met")
-        #: (key, n, parity): what different texts are compared by, and the key that stands for each of them in a task.
-        self.table = self.met.where(F.col("kind") == RECORDS).select(F.col("a").alias("key"), F.col("b").alias("n"), "parity")
-        local = self.met.where(F.col("kind") == LOCAL).select(F.col("a").alias("of"), F.col("b").alias("key"))
-        among = self.met.where(F.col("kind") == COPIES).select(F.col("a").alias("rep"), F.col("b").alias("key"))
-        found = local.join(among.withColumnRenamed("key", "of"), "of", "left").select(F.coalesce("rep", "of").alias("rep"), "key", "of")
-        own = found.select("rep", F.col("of").alias("key"))
-        #: (rep, key): every record that has copies, with the representative of its copies, which is one of them.
-        self.copies = materialise(among.unionByName(found.select("rep", "key")).unionByName(own).distinct(), "copies")
-        self.keys = self.table.select("key").unionByName(local.select("key")).distinct()
+        self.table = records_met(self.met)
+        self.copies = materialise(copies_met(self.met), "copies")
+        local = self.met.where(F.col("kind") == LOCAL).select(F.col("b").alias("key"))
+        self.keys = self.table.select("key").unionByName(local).distinct()
 
     def candidates(self) -> DataFrame:
         """(a, b): pairs of representatives that share a combination or a rare token, a < b, each once."""
-        forest = self.forest
-
-        def run(batches):
-            for batch in batches:
-                for d, one, two in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    a, b = distinct_pairs(block_pairs(d, one, two, forest))
-                    yield pa.RecordBatch.from_arrays([long_array(a), long_array(b)], names=["a", "b"])
-
-        pairs = self.met.where(F.col("kind") == PAIRS).select("a", "b")
-        hot = self.met.where(F.col("kind") == BLOCKS).select("a", "one", "two")
-        if not hot.isEmpty():
-            blocks = hot.repartition(F.xxhash64("one", "two")).mapInArrow(run, "a bigint, b bigint")
-            pairs = pairs.unionByName(blocks)
-        return pairs.distinct()
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Keep pairs that the parities do not rule out: |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)."""
-        t = self.threshold
-        one = self.table.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-        two = self.table.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-        most = (F.col("na") + F.col("nb")) * ((1 - t) / (1 + t)) + 1e-6
-        sizes = F.least("na", "nb") >= F.greatest("na", "nb") * t - 1e-6
-        return pairs.join(one, "a").join(two, "b").where(sizes & (apart(F.col("pa"), F.col("pb")) <= most)).select("a", "b")
+        return pairs_met(self.met, self.forest)
 
     def links(self) -> DataFrame:
         """(a, b, similarity): verified pairs of representatives; pairs of copies of one record are not among them."""
-        pairs = materialise(self.near(self.candidates()), "candidates")
+        pairs = materialise(near(self.candidates(), self.table, self.threshold), "candidates")
         texts = self.records.select("key", "text")
         both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return verified(both, self.threshold)
 
 
+def pairs_met(met: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): the distinct pairs that met, those of hot groups among them, which are compared block by block here."""
+
+    def run(batches):
+        for batch in batches:
+            for d, bases, one, two in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                a, b = distinct_pairs(block_pairs(d, (bases[0], one), (bases[1], two), forest))
+                yield pa.RecordBatch.from_arrays([long_array(a), long_array(b)], names=["a", "b"])
+
+    pairs = met.where(F.col("kind") == PAIRS).select("a", "b")
+    hot = met.where(F.col("kind") == BLOCKS).select("a", "parity", "one", "two")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(hot.repartition(F.xxhash64("one", "two")).mapInArrow(run, "a bigint, b bigint"))
+    return pairs.distinct()
+
+
+def copies_met(met: DataFrame) -> DataFrame:
+    """(rep, key): every record that has copies, with the representative of its copies, which is one of them."""
+    local = met.where(F.col("kind") == LOCAL).select(F.col("a").alias("of"), F.col("b").alias("key"))
+    among = met.where(F.col("kind") == COPIES).select(F.col("a").alias("rep"), F.col("b").alias("key"))
+    found = local.join(among.withColumnRenamed("key", "of"), "of", "left").select(F.coalesce("rep", "of").alias("rep"), "key", "of")
+    own = found.select("rep", F.col("of").alias("key"))
+    return among.unionByName(found.select("rep", "key")).unionByName(own).distinct()
+
+
+def records_met(met: DataFrame) -> DataFrame:
+    """(key, n, parity): what different texts are compared by, and the key that stands for each of them in a task."""
+    return met.where(F.col("kind") == RECORDS).select(F.col("a").alias("key"), F.col("b").alias("n"), "parity")
+
+
+def near(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """Keep pairs that the parities do not rule out: |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|)."""
+    one = table.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    two = table.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-6
+    return pairs.join(one, "a").join(two, "b").where(sizes & (apart(F.col("pa"), F.col("pb")) <= most)).select("a", "b")
+
+
 def bucket_count(spark: SparkSession, records: int, per_bucket: int = PER_BUCKET) -> int:
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // per_bucket))
 

@@ -177,11 +177,9 @@ class Entries:
         out.label, out.key, out.n, out.s, out.t, out.fp = (x[at] for x in (self.label, self.key, self.n, self.s, self.t, self.fp))
         return out
 
-    def blob(self) -> bytes:
-        out = np.empty(len(self), dtype=_WIDE)
-        out["hi"], out["lo"] = (self.label >> np.uint64(16)).astype(np.uint32), (self.label & np.uint64(0xFFFF)).astype(np.uint16)
-        out["key"], out["n"], out["s"], out["t"], out["fp"] = self.key, self.n, self.s, self.t, self.fp
-        return out.tobytes()
+    def blob(self) -> tuple[int, bytes]:
+        """(base, packed entries)."""
+        return next((base, x) for _, base, x in packed(self.label, self.key, self.n, self.s, self.t, self.fp, np.zeros(len(self), np.int32)))
 
 
 def fields_of(bases: list[int], blobs: list) -> tuple[np.ndarray, ...]:
@@ -201,6 +199,7 @@ def unpacked(bases: list[int], blobs: list, unique: bool = True) -> Entries:
     return Entries(*fields_of(bases, blobs), unique=unique)
 
 
+#: The lower bit of every two.
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -261,9 +260,9 @@ def self_pairs(entries: Entries, forest: Forest, hot: list | None = None) -> Ite
             yield entries.key[i[ok]], entries.key[j[ok]]
 
 
-def block_pairs(d: int, one: bytes, two: bytes, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of two blocks of one hot group; the blocks' entries are sorted by size, the second's not below the first's."""
-    a, b = (unpacked([NO_BASE], [x], unique=False) for x in (one, two))
+def block_pairs(d: int, one: tuple[int, bytes], two: tuple[int, bytes], forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of two blocks of one hot group."""
+    a, b = (unpacked([x[0]], [x[1]], unique=False) for x in (one, two))
     a, b = (e.take(np.argsort(e.n, kind="stable")) for e in (a, b))
     first = np.arange(1, len(a) + 1) if one == two else np.searchsorted(b.n, np.ceil(a.n * forest.threshold - 1e-6))
     last = np.searchsorted(b.n, _largest_partner(a.n, forest.threshold), side="right")
@@ -303,14 +302,15 @@ def distinct_pairs(parts) -> tuple[np.ndarray, np.ndarray]:
             low.append(np.minimum(x, y))
             high.append(np.maximum(x, y))
             if sum(map(len, low)) > 4_000_000:
-                one, two = _unique(np.concatenate(low), np.concatenate(high))
+                one, two = unique_pairs(np.concatenate(low), np.concatenate(high))
                 low, high = [one], [two]
     if not low:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _unique(np.concatenate(low), np.concatenate(high))
+    return unique_pairs(np.concatenate(low), np.concatenate(high))
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, in order."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     keep = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)

@@ -224,15 +224,57 @@ def test_chain_is_settled_in_order(spark):
     assert got == repeats_brute([], new) == {(i, 1) for i in (1, 3, 5, 7)}
 
 
+def entries_of(forest):
+    from ragmill.llm.prefixes import fields_of
+
+    rows = forest.entries().collect()
+    return sorted((r.bucket, r.kind, int(label), int(key)) for r in rows for label, key in zip(*fields_of([r.base], [r.blob])[:2]))
+
+
 def test_forest_runs(spark, tmp_path):
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(6, families=5, alone=20))], "k long, t string")
-    forest = history.Forest.create(f"file://{tmp_path}/f", texts.where("k < 20"), "k", "t")
+    texts = spark.createDataFrame([(i, f"id{i}", t) for i, t in enumerate(corpus(6, families=5, alone=20))], "k long, id string, t string")
+    forest = history.Forest.create(f"file://{tmp_path}/f", texts.where("k < 20"), "k", "t", buckets=5, slots=3)
     forest.append(texts.where("k >= 20"), "k", "t")
-    before = sorted(forest.entries().collect()), sorted(r.key for r in forest.meta().collect())
+    before, found = entries_of(forest), sorted(forest.find(texts, "k", "t").collect())
+    assert len(forest.runs()) == 2 and found
+    (tmp_path / "f/run-000007-000009/labels").mkdir(parents=True)  # a merge that broke off
     forest.merge_runs()
     again = history.Forest(spark, f"file://{tmp_path}/f")
-    assert (sorted(again.entries().collect()), sorted(r.key for r in again.meta().collect())) == before
-    assert history.prefix_depth(30, 0.75, 0.999) == 5 and history.prefix_depth(30, 0.75, 0.9999999) < 5
+    assert len(again.runs()) == 1
+    # Copies in different runs are one entry after merging.
+    assert {e[:3] for e in entries_of(again)} == {e[:3] for e in before}
+    assert {(r.a, r.how) for r in again.find(texts, "k", "t").collect()} == {(r.a, r.how) for r in found}
+
+
+def test_batches_taken_one_by_one_equal_a_replay(spark, tmp_path):
+    rng = random.Random(11)
+    texts = corpus(11, families=12, alone=30)
+    rows = [(i, rng.choice([None, *[f"id{j}" for j in range(40)]]), t) for i, t in enumerate(texts)]
+    old, new = rows[: len(rows) // 2], [(i, b, d, t) for b, part in enumerate(np.array_split(np.arange(len(rows) // 2, len(rows)), 3)) for i, d, t in (rows[j] for j in part)]
+    forest = history.Forest.create(f"file://{tmp_path}/f", spark.createDataFrame(old, "k long, id string, text string"), "k", "text", buckets=4, slots=4)
+    got = set()
+    for b in range(3):
+        batch = spark.createDataFrame([r for r in new if r[1] == b], "in_no long, batch int, id string, text string")
+        got |= {(r.in_no, r.batch) for r in forest.take(batch, "in_no", "batch").collect()}
+    assert got == repeats_brute(old, new) and len(forest.runs()) == 4
+
+
+def test_lookups_read_what_the_batch_needs_whatever_the_history(spark, tmp_path):
+    batch = spark.createDataFrame([(i, 1, None, " ".join(f"q{i}x{j}" for j in range(50))) for i in range(1)], "in_no long, batch int, id string, text string")
+    read = []
+    for n in (700, 4_200):
+        rng = random.Random(n)
+        texts = [" ".join(f"z{rng.randrange(5000)}" for _ in range(60)) for _ in range(n)] + [" ".join(f"q{i}x{j}" for j in range(48)) for i in range(1)]
+        old = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "k long, id string, text string")
+        forest = history.Forest.create(f"file://{tmp_path}/f{n}", old, "k", "text", buckets=4, slots=4, block=32, texts_together=20)
+        rows = history.as_rows(batch, "in_no", "id", "text")
+        met = forest.meet(rows)
+        held = forest.held(rows, met)
+        size = sum(p.stat().st_size for p in (tmp_path / f"f{n}").rglob("*.parquet"))
+        read.append((met.where(f"kind = {history.READ}").agg({"a": "sum"}).first()[0] + held.agg({"read": "sum"}).first()[0], size))
+        assert {(r.a, r.b) for r in held.where("tb is not null").collect()} == {(i, n + i) for i in range(1)}
+    (few, small), (more, large) = read
+    assert large > 5 * small and more < 1.5 * few
 
 
 def vectors(spark, x, extra=()):
