@@ -292,7 +292,7 @@ def exact(x, k):
 
 def test_nearest_in_one_part_is_exact(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 8)) * rng.uniform(0.1, 30, (300, 1))
+    x = rng.normal(size=(270, 8)) * rng.uniform(0.1, 30, (270, 1))
     x[40:60] = x[5]
     bad = [(1000, None), (1001, []), (1002, [0.0] * 8), (1003, [float("nan")] * 8), (1004, [1.0] * 7), (1005, [float("inf")] + [1.0] * 7)]
     got = knn.nearest(vectors(spark, x, bad), "id", "embedding", 10, 8).toPandas()
@@ -301,25 +301,47 @@ def test_nearest_in_one_part_is_exact(spark):
         g = g.sort_values("rank")
         assert list(g["rank"]) == list(range(1, 11))
         assert np.allclose(g.score, [s[i, j] for j in want[i]], atol=2e-6)
-    assert set(got.key) == set(range(300))
+    assert set(got.key) == set(range(270))
     copies = got[got.key == 5].sort_values("rank")
     assert list(copies.neighbour) == list(range(40, 50))
 
 
-def test_nearest_recall_with_parts(spark, monkeypatch):
-    monkeypatch.setattr(knn, "ONE_PART", 500)
-    monkeypatch.setattr(knn, "PART", 300)
-    monkeypatch.setattr(knn, "BLOCK", 200)
+def clustered(rows=3000, hot=900):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(25, 16))
-    x = centres[rng.integers(0, 25, 3000)] + 0.6 * rng.normal(size=(3000, 16))
-    x[:900] = x[0] + 1e-3 * rng.normal(size=(900, 16))  # a third of the rows in one place
-    got = knn.nearest(vectors(spark, x), "id", "embedding", 10, 16).toPandas()
-    assert len(got) == 30_000 and not got.duplicated(["key", "neighbour"]).any()
+    x = centres[rng.integers(0, 25, rows)] + 0.6 * rng.normal(size=(rows, 16))
+    x[:hot] = x[0] + 1e-3 * rng.normal(size=(hot, 16))  # a third of the rows in one place
+    return x
+
+
+def recall_of(got, x):
     want, s = exact(x, 10)
-    kth = {i: s[i, want[i][-1]] for i in range(3000)}
-    recall = np.mean([s[k, n] >= kth[k] - 2e-6 for k, n in zip(got.key, got.neighbour)])
-    assert recall >= 0.9
+    kth = {i: s[i, want[i][-1]] for i in range(len(x))}
+    assert len(got) == 10 * len(x) and not got.duplicated(["key", "neighbour"]).any()
+    return np.mean([s[k, n] >= kth[k] - 2e-6 for k, n in zip(got.key, got.neighbour)])
+
+
+@pytest.mark.parametrize("most_parts", [1_024, 8])
+def test_nearest_recall_with_parts_and_cells(spark, monkeypatch, most_parts):
+    monkeypatch.setattr(knn, "CELL", 150)
+    monkeypatch.setattr(knn, "BLOCK", 200)
+    monkeypatch.setattr(knn, "MOST_PARTS", most_parts)
+    x = clustered()
+    assert recall_of(knn.nearest(vectors(spark, x), "id", "embedding", 10, 16).toPandas(), x) >= 0.95
+
+
+def test_visits_per_vector_stay_level_when_parts_are_few(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 150)
+    monkeypatch.setattr(knn, "MOST_PARTS", 8)
+    rng, visits = np.random.default_rng(6), []
+    for rows in (4_800, 14_400):
+        units = knn.unit_vectors(vectors(spark, rng.normal(size=(rows, 6))), "id", "embedding", 6).cache()
+        found = knn.fit(units, 10, 6)
+        assert found.top.parts == 8 and knn.total_cells(found) >= rows // 400
+        query, _ = found.visits(knn._matrix(units.select("vec").toArrow().column("vec"), 6))
+        visits.append(len(query) / rows)
+        units.unpersist()
+    assert visits[1] < 1.5 * visits[0]
 
 
 def test_routing_is_calibrated_to_the_recall_first_set():
