@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import neardup, prefixes, words
+from ragmill.llm.arrow import parquet_files, row_groups_with
 from ragmill.llm.neardup import LABELS, LOCAL, PAIRS, Parts, Unit, entry_parts, met_rows, parities, shuffle_rows, verified
 from ragmill.llm.prefixes import Entries, cross_pairs, distinct_pairs, integer_key, packed, self_pairs
 from ragmill.session import materialise, released, scratch_path
@@ -117,23 +118,11 @@ def sorted_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, WINDOWS)
 
 
-def _files(paths: list[str]):
-    """Open Parquet files of folders of the shared file system, in whatever file system their addresses name."""
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    for path in paths:
-        system, at = fs.FileSystem.from_uri(path)
-        for info in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-            if info.base_name.endswith(".parquet"):
-                yield pq.ParquetFile(system.open_input_file(info.path))
-
-
 class Window:
     """Reads what is needed of one bucket of the runs; counts the bytes."""
 
     def __init__(self, runs: list[str], bucket: int):
-        self.files = list(_files([f"{run}/labels/bucket={bucket}" for run in runs]))
+        self.files = list(parquet_files([f"{run}/labels/bucket={bucket}" for run in runs]))
         self.read = 0
         self.blocks = []
         for file in self.files:
@@ -197,14 +186,9 @@ def texts_held(pairs: DataFrame, runs: list[str], threshold: float) -> DataFrame
     def run(group: pa.Table) -> pa.Table:
         slot, key = group.column("slot")[0].as_py(), group.column("b").to_numpy()
         wanted, read, rows = np.unique(key), 0, []
-        for file in _files([f"{run}/items/slot={slot}" for run in runs]):
-            names = file.schema_arrow.names
-            at = names.index("key")
-            for g in range(file.num_row_groups):
+        for file in parquet_files([f"{run}/items/slot={slot}" for run in runs]):
+            for g in row_groups_with(file, "key", wanted.tolist()):
                 meta = file.metadata.row_group(g)
-                stats = meta.column(at).statistics
-                if stats is not None and stats.has_min_max and np.searchsorted(wanted, stats.min) == np.searchsorted(wanted, stats.max, side="right"):
-                    continue
                 keys = file.read_row_group(g, columns=["key"]).column("key").to_numpy()
                 hit = np.flatnonzero(words.in_sorted(keys, wanted))
                 if len(hit):

@@ -110,6 +110,15 @@ def test_two_misreadings_are_found_as_by_trying_all():
         assert corpus.repair(word) == best
 
 
+def test_pages_are_read_alike_whatever_vocabulary_every_task_has(spark, data, monkeypatch):
+    records = spark.read.parquet(f"{data}/handler_docs.parquet")
+    run = lambda: (sorted(pages.found_lines(records, "rec_no").collect()), sorted(pages.paragraphs(records, "rec_no").collect()))
+    whole = run()
+    monkeypatch.setattr(pages, "KNOWN_SHARE", 2e-3)  # most words are read from files
+    monkeypatch.setattr(pages, "RARE_TOGETHER", 50)
+    assert len(whole[0]) > 50 and run() == whole
+
+
 def test_no_pages(spark):
     df = page_table(spark, [(1, 1, "x", "text", None)])
     assert pages.found_lines(df.where("false"), "rec_no").count() == 0
