@@ -11,80 +11,131 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragmill.functions.vectors import distance, distances
+from ragmill.functions.vectors import distance_to, distances
+from ragmill.session import materialise, scratch_path
+from ragmill.sources.shared import parquet_files
 
-#: Questions per block: what one scan of the collection serves, and all that is broadcast at once.
-BLOCK = 2_048
+#: Questions per block and per scan of the collection, and rows that meet a block at once.
+BLOCK, PER_SCAN, ROWS = 2_048, 1_048_576, 32_768
+#: Bytes of question blocks that a task keeps rather than reads again for its next rows.
+KEPT = 64 << 20
 
 
 def similar(collection: DataFrame, query: list[float], k: int, metric: str = "sqeuclidean", id_: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, score, rank): the k nearest rows to one vector, nearest first, ties by id. Every task keeps k rows before any are
     moved. Rows whose vector is null, of another length or without a distance are no hits."""
-    score = distance(F.col(vector), F.array(*(F.lit(float(x)) for x in query)), metric)
+    score = distance_to(F.col(vector), query, metric)
     found = collection.select(F.col(id_).alias("id"), score.alias("score")).where("score is not null and not isnan(score)")
     top = found.orderBy("score", "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))
 
 
 def similar_batch(collection: DataFrame, questions: DataFrame, k: int, metric: str = "sqeuclidean", id_: str = "id", vector: str = "embedding", qid: str = "qid", qvector: str = "embedding") -> DataFrame:
-    """(qid, id, score, rank): the k nearest rows for every question. Questions come in blocks of ``BLOCK``; a block goes to
-    every task, which scores its rows as matrices and keeps k per question, so that k rows a task and question are moved."""
+    """(qid, id, score, rank): the k nearest rows for every question.
+
+    The questions are written in blocks to the shared folder; every task scores its rows against block after block as
+    matrices and keeps k per question, so k rows a task and question are moved. No question passes through the driver, and
+    one scan serves up to ``PER_SCAN`` of them.
+    """
+    spark = collection.sparkSession
     kinds = {"qid": questions.schema[qid].dataType.simpleString(), "id": collection.schema[id_].dataType.simpleString()}
-    schema = f"qid {kinds['qid']}, id {kinds['id']}, score double"
     rows = collection.select(F.col(id_).alias("id"), F.col(vector).alias("v")).where("v is not null")
-    asked = questions.select(F.col(qid).alias("qid"), F.col(qvector).alias("v")).where("v is not null")
-    qtype = to_arrow_type(asked.schema["qid"].dataType)
-    parts = [_scan(rows, block, k, metric, schema, qtype) for block in _blocks(asked)]
-    if not parts:
-        return collection.sparkSession.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked = questions.select(F.col(qid).alias("qid"), F.col(qvector).cast("array<double>").alias("v")).where("v is not null")
+    asked = materialise(asked, "questions")
+    number = asked.count()
+    scans = max(1, -(-number // PER_SCAN))
+    found = None
+    for scan in range(scans):
+        part = asked if scans == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(scans)) == scan)
+        path = scratch_path(spark, "question-blocks")
+        blocks = part.repartition(max(1, -(-number // scans // BLOCK))).mapInArrow(_packed, f"dim int, qids array<{kinds['qid']}>, v binary")
+        blocks.write.option("parquet.block.row.count.limit", 1).parquet(path)
+        one = _scan(rows, path, k, metric, f"qid {kinds['qid']}, id {kinds['id']}, score double", to_arrow_type(asked.schema["qid"].dataType))
+        found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blocks(asked: DataFrame) -> Iterator[pa.Table]:
-    held: list[tuple] = []
-    for row in asked.toLocalIterator():
-        held.append((row["qid"], row["v"]))
-        if len(held) == BLOCK:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def _scan(rows: DataFrame, block: list[tuple], k: int, metric: str, schema: str, qtype: pa.DataType) -> DataFrame:
-    by_dim: dict[int, tuple[list, list]] = {}
-    for q, v in block:
-        if None not in v:
-            ids, vectors = by_dim.setdefault(len(v), ([], []))
-            ids.append(q)
-            vectors.append(v)
-    sides = {dim: (ids, np.asarray(vectors, dtype=np.float64)) for dim, (ids, vectors) in by_dim.items()}
-    held = rows.sparkSession.sparkContext.broadcast(sides)
-
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions as blocks of one length of vectors each."""
+    for batch in batches:
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths):
+            at = np.flatnonzero(lengths == dim)
+            for i in range(0, len(at), BLOCK):
+                part = batch.take(pa.array(at[i : i + BLOCK]))
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                good = np.isfinite(vectors).all(axis=1)
+                ids = part.column(0).filter(pa.array(good))
+                if len(ids) and dim:
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), lists, pa.array([vectors[good].tobytes()], pa.binary())], names=["dim", "qids", "v"])
+
+
+class _Blocks:
+    """The blocks of questions of one length, kept while they are few."""
+
+    def __init__(self, path: str):
+        self.path, self.held, self.bytes = path, None, 0
+
+    def _read(self) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+        number = 0
+        for file in parquet_files([self.path]):
+            for group in range(file.num_row_groups):
+                table = file.read_row_group(group).to_pylist()
+                for row in table:
+                    yield number, row["dim"], row["qids"], np.frombuffer(row["v"], np.float64).reshape(-1, row["dim"])
+                    number += 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, list, np.ndarray]]:
+        if self.held is None:
+            held, total = [], 0
+            for block in self._read():
+                total += block[3].nbytes
+                if total <= KEPT:
+                    held.append(block)
+                yield block
+            self.held = held if total <= KEPT else None
+        else:
+            yield from self.held
+
+
+def _scan(rows: DataFrame, path: str, k: int, metric: str, schema: str, qtype: pa.DataType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(path)
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            ids, vectors = batch.column(0), batch.column(1)
+        asking: dict[int, list] = {}
+        kind, waiting, held = None, [], 0
+
+        def meet() -> None:
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            ids, vectors = (table.column(i).combine_chunks() for i in range(2))
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            for dim, (asking, q) in held.value.items():
-                at = np.flatnonzero(lengths == dim)
-                for i in range(0, len(at), 4_096):
-                    part = at[i : i + 4_096]
-                    x = vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            sides = {}
+            for number, dim, qids, q in blocks:
+                if dim not in sides:
+                    at = np.flatnonzero(lengths == dim)
+                    x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                     good = np.isfinite(x).all(axis=1)
-                    x, names = x[good], np.array(ids.take(pa.array(part[good])).to_pylist(), dtype=object)
-                    if len(x):
-                        best[dim] = _merge(best.get(dim), distances(q, x, metric), names, k, q, x, metric)
-        for dim, (score, names) in best.items():
-            asking = held.value[dim][0]
+                    sides[dim] = x[good], np.array(ids.take(pa.array(at[good])).to_pylist(), dtype=object)
+                x, names = sides[dim]
+                asking[number] = qids
+                for i in range(0, len(x), 4_096):
+                    part = x[i : i + 4_096]
+                    best[number] = _merge(best.get(number), distances(q, part, metric), names[i : i + 4_096], k, q, part, metric)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            waiting.append(batch)
+            held += batch.num_rows
+            if held >= ROWS:
+                meet()
+                waiting, held = [], 0
+        if held:
+            meet()
+        for number, (score, names) in best.items():
             ok = np.isfinite(score)
-            qids = np.repeat(np.array(asking, dtype=object), ok.sum(axis=1))
+            qids = np.repeat(np.array(asking[number], dtype=object), ok.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(qids.tolist(), qtype), pa.array(names[ok].tolist(), kind), pa.array(score[ok])], names=["qid", "id", "score"])
 
     return rows.mapInArrow(run, schema)

@@ -1,21 +1,34 @@
-"""Collections of items, kept as versions of Parquet tables: a write never touches what readers have open."""
+"""Collections of items, kept as Parquet folders: a base and the upserts since. A write never touches what readers have open."""
 
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragmill.operators import search
 from ragmill.operators.rows import METADATA
+from ragmill.session import materialise
 
 ITEMS = f"id string, embedding array<float>, text string, metadata {METADATA}"
 log = logging.getLogger("ragmill")
 
 
+#: Upserts that may wait before the collection is written anew.
+MOST_DELTAS = 8
+#: Hits up to which they are sent to where the texts are.
+FEW_HITS = 100_000
+
+
 class VectorStore:
-    """Named collections under one folder."""
+    """Named collections under one folder.
+
+    A collection is a base and the upserts since, each a folder that counts once its write has ended. An upsert writes its own
+    rows and reads nothing; reading puts the newest row of each id in place of older ones; ``compact`` makes a new base, and a
+    note in it says which folders it holds, so upserts that run meanwhile are kept.
+    """
 
     def __init__(self, spark: SparkSession, root: str, collection: str = "docs"):
         if not collection or "/" in collection:
@@ -26,41 +39,84 @@ class VectorStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _versions(self) -> list[int]:
-        """Versions that were written to their end; an interrupted write leaves one without the marker file."""
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _folders(self) -> list[str]:
+        """Folders whose write has ended, by number: ``base-<n>-<unique>`` and ``delta-<n>-<unique>``."""
         fs, at = self._fs()
         if not fs.exists(at):
             return []
-        new = self.spark._jvm.org.apache.hadoop.fs.Path
         names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(new(f"{self.path}/{n}/_SUCCESS")))
+        names = [n for n in names if n.startswith(("base-", "delta-"))]
+        done = [n for n in names if fs.exists(self._at(f"{n}/_SUCCESS")) and (n[0] == "d" or fs.exists(self._at(f"{n}.holds")))]
+        return sorted(done, key=lambda n: (int(n.split("-")[1]), n))
+
+    def _live(self) -> tuple[str | None, list[str]]:
+        """The newest base, and the upserts it doesn't hold, oldest first."""
+        folders = self._folders()
+        base = next((n for n in reversed(folders) if n[0] == "b"), None)
+        held = set(self._note(base)) if base else set()
+        return base, [n for n in folders if n[0] == "d" and n not in held]
+
+    def _note(self, base: str) -> list[str]:
+        fs, _ = self._fs()
+        stream = fs.open(self._at(f"{base}.holds"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
 
     def get(self) -> DataFrame:
         """The collection's rows; a collection that doesn't exist is empty."""
         try:
-            versions = self._versions()
-            if not versions:
-                return self.spark.createDataFrame([], ITEMS)
-            return self.spark.read.schema(ITEMS).parquet(f"{self.path}/v{versions[-1]}")
+            return self._rows(*self._live())
         except Exception:
             log.exception("Error getting or creating collection %s", self.path)
             raise
 
-    def upsert(self, items: DataFrame, keep: int = 2) -> None:
-        """Insert or replace by id, as a new version; ``keep`` versions stay. A missing id is the empty one. No rows, no
-        version."""
+    def _rows(self, base: str | None, deltas: list[str]) -> DataFrame:
+        read = lambda n: self.spark.read.schema(ITEMS).parquet(f"{self.path}/{n}")
+        if not deltas:
+            return read(base) if base else self.spark.createDataFrame([], ITEMS)
+        new = read(deltas[0]).withColumn("_order", F.lit(0))
+        for i, name in enumerate(deltas[1:], 1):
+            new = new.unionByName(read(name).withColumn("_order", F.lit(i)))
+        if len(deltas) > 1:
+            new = latest(new, "_order")
+        new = new.drop("_order")
+        return read(base).join(new.select("id"), "id", "left_anti").unionByName(new) if base else new
+
+    def _number(self) -> int:
+        fs, at = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return max((int(n.split("-")[1]) for n in names if n.startswith(("base-", "delta-"))), default=-1) + 1
+
+    def upsert(self, items: DataFrame) -> None:
+        """Insert or replace by id; what is there is neither read nor moved. A missing id is the empty one; of several rows of one
+        id the one with the greatest text stays. No rows, no folder."""
         new = as_items(items)
         if new.isEmpty():
             return
-        versions = self._versions()
-        merged = upserted(self.get(), new) if versions else latest(new)
-        number = versions[-1] + 1 if versions else 0
+        latest(new).write.parquet(f"{self.path}/delta-{self._number():08d}-{uuid.uuid4().hex[:8]}")
+        if len(self._live()[1]) > MOST_DELTAS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the collection anew as one base; folders it replaces go, except those of the base before, which may be in use."""
+        base, deltas = self._live()
+        if not deltas:
+            return
+        name = f"base-{self._number():08d}-{uuid.uuid4().hex[:8]}"
+        self._rows(base, deltas).write.parquet(f"{self.path}/{name}")
         fs, _ = self._fs()
-        while fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{number}")):
-            number += 1
-        merged.write.parquet(f"{self.path}/v{number}")
-        for old in versions[: max(0, len(versions) + 1 - keep)]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+        held = [*deltas, *(self._note(base) if base else [])]
+        stream = fs.create(self._at(f"{name}.holds"), True)
+        stream.writeBytes("\n".join(held))
+        stream.close()
+        if base:
+            for old in [n for n in self._folders() if n in self._note(base) or (n[0] == "b" and n not in (base, name))]:
+                fs.delete(self._at(old), True)
 
     def search(self, query: list[float], k: int, metric: str = "sqeuclidean") -> DataFrame:
         """(id, content, metadata, score, rank). The k hits, and no more, go to where the texts are."""
@@ -72,8 +128,11 @@ class VectorStore:
     def search_batch(self, questions: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFrame:
         """(qid, id, content, metadata, score, rank) for every row (qid, embedding) of ``questions``."""
         rows = self.get()
-        top = search.similar_batch(rows, questions, k, metric)
-        found = top.join(rows.select("id", F.col("text").alias("content"), "metadata"), "id")
+        top = materialise(search.similar_batch(rows, questions, k, metric), "hits")
+        texts = rows.select("id", F.col("text").alias("content"), "metadata")
+        # Few hits go to the texts; of many, the texts' ids are cut down to theirs before anything else moves.
+        few = top.count() <= FEW_HITS
+        found = texts.join(F.broadcast(top), "id") if few else top.join(texts.join(top.select("id").distinct(), "id", "left_semi"), "id")
         return search.as_results(found).select("qid", "id", "content", "metadata", "score", "rank")
 
 

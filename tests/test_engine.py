@@ -86,7 +86,7 @@ def test_store(spark, tmp_path):
     asked = spark.createDataFrame([(1, [5.0, 5.0]), (2, None), (3, [1.0])], "qid int, embedding array<float>")
     got = store.search_batch(asked, 1).collect()
     assert [(h.qid, h.id, h.content, h.score) for h in got] == [(1, "", "", 0.0)]
-    (tmp_path / "docs" / "v9").mkdir()  # a write that did not end
+    (tmp_path / "docs" / "delta-00000009-x").mkdir()  # a write that did not end
     assert store.get().count() == 4
     store.upsert(items(spark, ("d", [1.0, 1.0], "d")))
     assert store.get().count() == 5
@@ -94,9 +94,33 @@ def test_store(spark, tmp_path):
         VectorStore(spark, str(tmp_path), "a/b")
 
 
+def test_upserts_read_nothing_and_compaction_keeps_what_comes_meanwhile(spark, tmp_path, monkeypatch):
+    store = VectorStore(spark, f"file://{tmp_path}")
+    for i in range(3):
+        store.upsert(items(spark, ("a", [float(i)], f"a{i}"), (f"b{i}", [0.0], "b")))
+    base, deltas = store._live()
+    assert base is None and len(deltas) == 3
+    assert sum(1 for _ in spark.read.parquet(f"{tmp_path}/docs/{deltas[-1]}").collect()) == 2  # its own rows only
+    want = [("a", "a2"), ("b0", "b"), ("b1", "b"), ("b2", "b")]
+    rows = lambda: sorted((r.id, r.text) for r in store.get().collect())
+    assert rows() == want
+    real = store._number
+    # An upsert that took its number before the compaction, and ends after it.
+    monkeypatch.setattr(store, "_number", lambda: 1)
+    store.compact()
+    store.upsert(items(spark, ("z", [1.0], "meanwhile")))
+    monkeypatch.setattr(store, "_number", real)
+    assert rows() == sorted([*want, ("z", "meanwhile")])
+    store.compact()
+    assert store._live()[1] == [] and rows() == sorted([*want, ("z", "meanwhile")])
+    for i in range(10):
+        store.upsert(items(spark, ("a", [float(i)], f"n{i}")))
+    assert len(store._live()[1]) <= 8 and ("a", "n9") in rows()
+
+
 @pytest.mark.parametrize("metric", ["sqeuclidean", "cosine", "ip"])
 def test_batch_equals_single(spark, metric, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "PER_SCAN", 4)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(200)] + [(200, None), (201, [1.0]), (202, [float("nan")] * 6)]
     rows += [(300 + i, rows[i][1]) for i in range(20)]  # ties
