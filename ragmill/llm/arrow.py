@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,28 +28,3 @@ def int_lists(parts: list[bytes]) -> pa.ListArray:
     np.cumsum(lengths, out=offsets[1:])
     values = np.frombuffer(b"".join(parts), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
-def parquet_files(paths: list[str]) -> Iterator:
-    """Open Parquet files of folders of the shared file system, in whatever file system their addresses name."""
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    for path in paths:
-        system, at = fs.FileSystem.from_uri(path)
-        for info in system.get_file_info(fs.FileSelector(at, allow_not_found=True)):
-            if info.base_name.endswith(".parquet"):
-                yield pq.ParquetFile(system.open_input_file(info.path))
-
-
-def row_groups_with(file, column: str, sorted_values: list) -> Iterator[int]:
-    """The row groups whose range of ``column`` holds any of the values."""
-    at = file.schema_arrow.names.index(column)
-    for group in range(file.num_row_groups):
-        stats = file.metadata.row_group(group).column(at).statistics
-        if stats is None or not stats.has_min_max:
-            yield group
-        else:
-            i = bisect_left(sorted_values, stats.min)
-            if i < len(sorted_values) and sorted_values[i] <= stats.max:
-                yield group

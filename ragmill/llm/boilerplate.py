@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ragmill.session import materialise
 
 SHARE, LEAST = 0.2, 8
-#: Counters per site and task to begin with.
-COUNTERS = 4_096
+#: Counters per site and task to begin with, and sites and counters that a task holds before it hands its summaries out.
+COUNTERS, MOST_SITES, MOST_COUNTERS = 4_096, 20_000, 1_000_000
 IGNORED = re.compile(r"[\d\s]+")
 
 
@@ -96,6 +96,15 @@ def summaries(rows: DataFrame, counters: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept, records = LineHashes(), {}, {}
+
+        def flush():
+            out = [(site, 0, n, kept[site].error if site in kept else 0) for site, n in records.items()]
+            out += [(site, line, n, 0) for site, s in kept.items() for line, n in s.count.items()]
+            kept.clear()
+            records.clear()
+            for i in range(0, len(out), 100_000):
+                yield _batch(out[i : i + 100_000], ["site", "line", "n", "error"], [pa.string(), pa.int64(), pa.int64(), pa.int64()])
+
         for batch in batches:
             for site, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 records[site] = records.get(site, 0) + 1
@@ -105,10 +114,10 @@ def summaries(rows: DataFrame, counters: int) -> DataFrame:
                     if site not in kept:
                         kept[site] = Summary(counters)
                     kept[site].add(lines)
-        out = [(site, 0, n, kept[site].error if site in kept else 0) for site, n in records.items()]
-        out += [(site, line, n, 0) for site, s in kept.items() for line, n in s.count.items()]
-        for i in range(0, len(out), 100_000):
-            yield _batch(out[i : i + 100_000], ["site", "line", "n", "error"], [pa.string(), pa.int64(), pa.int64(), pa.int64()])
+            # Summaries merge, so a task that meets many sites may hand out several of one.
+            if len(records) > MOST_SITES or (len(kept) > 1 and sum(len(s.count) for s in kept.values()) > max(MOST_COUNTERS, 4 * counters)):
+                yield from flush()
+        yield from flush()
 
     partial = rows.select("site", "content").mapInArrow(run, "site string, line bigint, n bigint, error bigint")
     return partial.groupBy("site", "line").agg(F.sum("n").alias("n"), F.sum("error").alias("error"))
@@ -142,14 +151,24 @@ def confirmed(rows: DataFrame, share: float = SHARE, least: int = LEAST, counter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = LineHashes(), {}
         sets: dict[str, frozenset] = {}
+
+        def flush():
+            out = [(*k, n) for k, n in counts.items()]
+            counts.clear()
+            yield _batch(out, ["site", "line", "n"], [pa.string(), pa.int64(), pa.int64()])
+
         for batch in batches:
+            if len(sets) > MOST_SITES:
+                sets.clear()
             for site, content, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if site not in sets:
                     sets[site] = frozenset(lines.as_py() or ())
                 if content:
                     for line in sets[site].intersection(map(hashes.__getitem__, content.split("\n"))):
                         counts[site, line] = counts.get((site, line), 0) + 1
-        yield _batch([(*k, n) for k, n in counts.items()], ["site", "line", "n"], [pa.string(), pa.int64(), pa.int64()])
+            if len(counts) > MOST_COUNTERS:
+                yield from flush()
+        yield from flush()
 
     counted = _with_lines(rows, maybe).select("site", "content", "lines").where("lines is not null").mapInArrow(run, "site string, line bigint, n bigint")
     exact = counted.groupBy("site", "line").agg(F.sum("n").alias("n"))
@@ -157,34 +176,61 @@ def confirmed(rows: DataFrame, share: float = SHARE, least: int = LEAST, counter
 
 
 def site_rows(records: DataFrame, files: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, site, content) of the records that belong to a site."""
-    sites = files.select("file_no", site_of(F.col("originalname")).alias("site")).where("site is not null")
-    return records.select("file_no", F.col(key).alias("key"), F.col(content).alias("content")).join(sites, "file_no").select("key", "site", "content")
+    """(key, site, content); records that belong to no site have a null one."""
+    sites = files.select("file_no", site_of(F.col("originalname")).alias("site")).where("site is not null").dropDuplicates(["file_no"])
+    return records.select("file_no", F.col(key).alias("key"), F.col(content).alias("content")).join(sites, "file_no", "left").select("key", "site", "content")
+
+
+def _with_confirmed(rows: DataFrame, share: float, least: int) -> DataFrame:
+    """(key, site, content, lines): the rows with their sites' confirmed lines, null where there are none."""
+    inside = rows.where("site is not null")
+    lines = materialise(confirmed(inside, share, least), "confirmed-lines")
+    return _with_lines(rows, lines).select("key", "site", "content", "lines")
+
+
+class Sets(dict):
+    """site -> its lines, of some sites at a time."""
+
+    def of(self, site: str, lines) -> frozenset:
+        if site not in self:
+            if len(self) > MOST_SITES:
+                self.clear()
+            self[site] = frozenset(lines.as_py())
+        return self[site]
 
 
 def found_lines(records: DataFrame, files: DataFrame, key: str, content: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(key, line_no): the recurring lines of each record, numbered from 1."""
-    rows = materialise(site_rows(records, files, key, content), "site-rows")
+    rows = materialise(site_rows(records, files, key, content).where("site is not null"), "site-rows")
     kind = rows.schema["key"].dataType.simpleString()
-    lines = materialise(confirmed(rows, share, least), "confirmed-lines")
 
     def run(batches):
-        hashes, sets = LineHashes(), {}
+        hashes, sets = LineHashes(), Sets()
         for batch in batches:
             out = []
             for k, site, text, known in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
-                if site not in sets:
-                    sets[site] = frozenset(known.as_py())
-                hit = sets[site]
+                hit = sets.of(site, known)
                 out += [(k, i) for i, h in enumerate(map(hashes.__getitem__, text.split("\n")), 1) if h in hit]
             yield _batch(out, ["key", "line_no"], [batch.schema.field(0).type, pa.int32()])
 
-    return _with_lines(rows, lines).where("lines is not null and content is not null").select("key", "site", "content", "lines").mapInArrow(run, f"key {kind}, line_no int")
+    return _with_confirmed(rows, share, least).where("lines is not null and content is not null").mapInArrow(run, f"key {kind}, line_no int")
 
 
 def cleaned(records: DataFrame, files: DataFrame, key: str, content: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(key, content): every record, without the recurring lines of its site."""
-    found = found_lines(records, files, key, content, share, least).groupBy("key").agg(F.collect_list("line_no").alias("drop"))
-    both = records.select(F.col(key).alias("key"), F.col(content).alias("content")).join(found, "key", "left")
-    lines = F.filter(F.split("content", "\n"), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    return both.select("key", F.when(F.col("drop").isNull(), F.col("content")).otherwise(F.array_join(lines, "\n")).alias("content"))
+    """(key, content): every record, without the recurring lines of its site, which go in the pass that finds them."""
+    rows = materialise(site_rows(records, files, key, content), "site-rows")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        hashes, sets = LineHashes(), Sets()
+        for batch in batches:
+            out = []
+            for site, text, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if text is not None and known.is_valid:
+                    hit, lines = sets.of(site, known), text.split("\n")
+                    kept = [line for line in lines if hashes[line] not in hit]
+                    text = text if len(kept) == len(lines) else "\n".join(kept)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "content"])
+
+    return _with_confirmed(rows, share, least).mapInArrow(run, f"key {kind}, content string")

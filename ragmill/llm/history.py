@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragmill.llm import neardup, prefixes, words
-from ragmill.llm.arrow import parquet_files, row_groups_with
 from ragmill.llm.neardup import LABELS, LOCAL, PAIRS, Parts, Unit, entry_parts, met_rows, parities, shuffle_rows, verified
 from ragmill.llm.prefixes import Entries, cross_pairs, distinct_pairs, integer_key, packed, self_pairs
 from ragmill.session import materialise, released, scratch_path
+from ragmill.sources.shared import parquet_files, row_groups_with
 
 #: Trees, tokens of a label, and the expected share of the texts at the threshold that a search finds.
 TREES, DEEPEST, RECALL = 40, 6, 0.999

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragmill.llm.arrow import over_batches
+from ragmill.session import materialise
 
 # Letters of one shape in two scripts, with the form that stands for both.
 SAME_SHAPE = [
@@ -32,7 +33,16 @@ SAME_SHAPE = [
     ("\u04cf\u04d5\u04d9\u04e1\ua645", "l\u00e6\u0259\u0292\u01a8"),  # more Cyrillic small letters
     ("\u03dc\u03fa\u01a9\u0470\u0471", "FM\u03a3\u03a8\u03c8"),  # digamma, san, esh and sigma, psi
     ("\u0472\u04e8\u019f\u0473\u04e9", "\u0398\u0398\u0398\u0275\u0275"),  # theta, fita and barred o
-    ("\u00b5\u0269", "\u03bc\u03b9"),  # micro sign and mu, Latin iota
+    ("\u00b5\u0269\u03b9\ua647", "\u03bc\u0131\u0131\u0131"),  # micro sign and mu; iota of three scripts and dotless i
+    ("\u03b1\u0251\u03c5\u028b\u0261", "aauug"),  # Greek alpha and upsilon, Latin alpha, v with hook and script g
+    ("\u03ba\u0138", "\u043a\u043a"),  # small kappa and kra, as Cyrillic ka
+    ("\u0196\u0186\u0421", "I\u03fdC"),  # Latin capital iota, open O and the reversed sigma of Greek
+    ("\u03f3\u0458\u0237", "jj\u0237"),  # yot and je
+    ("\u0190\u0404\u03f5\u0454\u025b\u03b5", "\u0190\u0404\u0454\u0454\u025b\u025b"),  # open e and epsilon, Ukrainian ie
+    ("\u0194\u0263\u03c6\u0278\u0444\u03c9\ua7b7\u0461", "\u0194\u0263\u0278\u0278\u0444\u0461\u0461\u0461"),  # phi, omega of three scripts
+    ("\u0398\u03f4\u03b8\u03d1", "\u0398\u0398\u03b8\u03d1"),  # theta and its symbol
+    ("\u03b4\u1e9f\u03c7\uab53\u03b2\ua7b5", "\u03b4\u03b4\u03c7\u03c7\u03b2\u03b2"),  # delta, chi and beta as Latin letters
+    ("\ua7b3\u0245\u019c", "X\u039b\u019c"),  # Latin capital chi and turned v
 ]
 # Characters other than format characters and variation selectors that show nothing.
 SHOW_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
@@ -124,16 +134,31 @@ def skeleton_hashes(df: DataFrame, key: str, text: str) -> DataFrame:
     return over_batches(df.select(F.col(key).alias("key"), F.col(text).alias("text")), make, f"key {kind}, look binary, own binary")
 
 
+def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, look, own) of the rows whose look has several spellings, written once. Looks that only one spelling has drop out on
+    a pre-aggregated count before any row meets another."""
+    hashes = materialise(skeleton_hashes(df, key, text), "looks")
+    spellings = hashes.select("look", "own").distinct()
+    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
+    return hashes.join(several, "look", "left_semi")
+
+
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, spelling_id): one row per row that has a look-alike; the ids are the smallest keys of the rows of one look
+    and of one spelling. It grows with the rows, however many of them share a look."""
+    rows = look_alikes(df, key, text)
+    spelled = rows.groupBy("look", "own").agg(F.min("key").alias("spelling_id"))
+    classes = spelled.groupBy("look").agg(F.min("spelling_id").alias("class_id"))
+    return rows.join(spelled.join(classes, "look"), ["look", "own"]).select("key", "class_id", "spelling_id")
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str, left: str, right: str) -> DataFrame:
-    """(left, right): keys of rows that look the same but differ in code points, smaller key first.
-
-    Looks that only one spelling has drop out on a pre-aggregated count before any row meets another, so the join touches
-    only groups that yield pairs; AQE splits what is still hot.
-    """
-    hashes = skeleton_hashes(df, key, text)
-    spellings = hashes.groupBy("look", "own").agg(F.count(F.lit(1)).alias("n"))
-    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("look")
-    rows = hashes.join(several, "look", "left_semi")
-    a = rows.select("look", F.col("own").alias("own_a"), F.col("key").alias(left))
-    b = rows.select("look", F.col("own").alias("own_b"), F.col("key").alias(right))
-    return a.join(b, "look").where((F.col(left) < F.col(right)) & (F.col("own_a") != F.col("own_b"))).select(left, right).distinct()
+    """(left, right): keys of rows that look the same but differ in code points, smaller key first. Pairs are formed between
+    spellings, each once, and spread over the rows of both; AQE splits what is hot."""
+    rows = materialise(look_alikes(df, key, text), "look-alikes")
+    spelled = rows.select("look", "own").distinct()
+    pairs = spelled.withColumnRenamed("own", "own_a").join(spelled.withColumnRenamed("own", "own_b"), "look").where("own_a < own_b")
+    a = rows.select(F.col("look"), F.col("own").alias("own_a"), F.col("key").alias("x"))
+    b = rows.select(F.col("look"), F.col("own").alias("own_b"), F.col("key").alias("y"))
+    met = pairs.join(a, ["look", "own_a"]).join(b, ["look", "own_b"]).where("x <> y")
+    return met.select(F.least("x", "y").alias(left), F.greatest("x", "y").alias(right)).distinct()

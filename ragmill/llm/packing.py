@@ -141,7 +141,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
         .mapInArrow(second, again)
     )
     together = materialise(together, "bins-left")
-    return packed.join(together, "bin_no", "left").select(F.col("key").alias(key), "piece_no", "size", F.coalesce("to_no", "bin_no").alias("bin_no"))
+    # Only what was left open is looked up; closed containers and items without one stay where they are.
+    moved = packed.where(~F.col("closed")).join(together, "bin_no", "left").select("key", "piece_no", "size", F.coalesce("to_no", "bin_no").alias("bin_no"))
+    out = packed.where("closed").select("key", "piece_no", "size", "bin_no").unionByName(moved)
+    return out.withColumnRenamed("key", key)
 
 
 def pack_texts(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:

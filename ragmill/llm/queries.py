@@ -92,7 +92,11 @@ def p9_found(spark, sf_dir):
     return lookalikes.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_a", "doc_b")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p5_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_found)}
+def p9_classes(spark, sf_dir):
+    return lookalikes.look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_text, p3_found, p3_cleaned, p4_pieces, p4_found, p5_found, p6_nearest, p6_found, p7_ids, p8_bins, p8_found, p9_canonical, p9_classes, p9_found)}
 _BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SQL: dict[str, str] = {
     "p1_found": rf"""

@@ -131,8 +131,12 @@ def split_records(records: DataFrame, options: DataFrame, key: str, text: str, o
             for i in range(0, batch.num_rows, 256):
                 out = [[] for _ in names]
                 for k, t, size_, overlap_ in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns)):
-                    how = None if len(t) <= size_ else "forced" if longest_run(t, size_) else "natural"
-                    for n, (start, end, strength) in enumerate(split(t, size_, overlap_)):
+                    pieces = split(t, size_, overlap_)
+                    # A piece that no natural break ends shows a run that is too long for the limit less the overlap; the exact check
+                    # is whether it is for the limit itself.
+                    cut = any(strength == FORCED for _, _, strength in pieces)
+                    how = None if len(t) <= size_ else "forced" if cut and longest_run(t, size_) else "natural"
+                    for n, (start, end, strength) in enumerate(pieces):
                         shared = min(overlap_, start) if n else 0
                         for column, value in zip(out, (k, n, start, end, shared, BREAKS[strength], how, t[start - shared : end])):
                             column.append(value)
