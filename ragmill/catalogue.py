@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from ragmill.operators import prompting, rows, search
 from ragmill.operators.chunking import ChunkingOptions, RecursiveChunker, SlidingWindowChunker, chunk_rows
 from ragmill.plans.pipelines import Engine, chunk_documents
 from ragmill.session import scratch_path, table
-from ragmill.sources.collections import as_items, latest, upserted
+from ragmill.sources.collections import VectorStore
 from ragmill.sources.files import HandlerRegistry, PdfHandler, TextFileHandler, default_registry
 
 QUERIES: dict = {}
@@ -104,8 +107,10 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT coalesce(id, '') AS id, text, row_number() OVER (PARTITION BY coalesce(id, '') ORDER BY text DESC NULLS LAST) AS i FROM incoming_items)
     SELECT id, text FROM n WHERE i = 1 UNION ALL SELECT id, text FROM o WHERE i = 1 AND id NOT IN (SELECT id FROM n)""")
 def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = latest(as_items(table(spark, sf_dir, "vectors")))
-    return upserted(old, as_items(table(spark, sf_dir, "incoming_items"))).select("id", "text")
+    store = VectorStore(spark, scratch_path(spark, "store"))
+    store.upsert(table(spark, sf_dir, "vectors"))
+    store.upsert(table(spark, sf_dir, "incoming_items"))
+    return store.get().select("id", "text")
 
 
 # -- cleaning -----------------------------------------------------------------------------------------------------------
@@ -244,6 +249,50 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("rec_no", F.col("m.source").alias("source"), F.col("m.mimeType").alias("mime_type"), F.coalesce("m.page", F.lit(0)).alias("page"))
 
 
+def _as_pdf(batches):
+    """Texts as PDF files with a page for every 2,000 characters, each line shown by itself."""
+    for batch in batches:
+        files = []
+        for text in batch.column("text").to_pylist():
+            text = text or ""
+            pages, out = [text[i : i + 2_000] for i in range(0, max(1, len(text)), 2_000)], [b"%PDF-1.4"]
+            for i, page in enumerate(pages):
+                shown = b" T* ".join(b"<feff%s> Tj" % line.encode("utf-16-be").hex().encode() for line in page.split("\n"))
+                body = zlib.compress(b"BT " + shown + b" ET")
+                out.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj" % (10 + 2 * i, 11 + 2 * i))
+                out.append(b"%d 0 obj << /Filter /FlateDecode /Length %d >> stream\n%s\nendstream endobj" % (11 + 2 * i, len(body), body))
+            kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+            out.append(b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [%s] >> endobj trailer << /Root 1 0 R >>" % kids)
+            files.append(b"\n".join(out))
+        kept = batch.select(["doc_id"]).columns
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(["f"] * len(files)), pa.array(["application/pdf"] * len(files)), pa.array(files, pa.binary())], names=["doc_id", "originalname", "mimetype", "buffer"])
+
+
+_PDF_TEXT = "regexp_replace(regexp_replace({0}, '\n{{2,}}', chr(10), 'g'), '^\n+|\n+$', '', 'g')"
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT doc_id, text, unnest(range(0, greatest(1, len(text)), 2000)) AS i FROM t)
+    SELECT doc_id, CAST(i // 2000 + 1 AS INT) AS page, CAST(greatest(1, ceil(len(text) / 2000)) AS INT) AS total_pages, {_PDF_TEXT.format('substr(text, i + 1, 2000)')} AS content FROM p""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as PDF files, read page by page."""
+    files = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_as_pdf, "doc_id bigint, originalname string, mimetype string, buffer binary")
+    docs = HandlerRegistry({"application/pdf": PdfHandler(cleaner=lambda c: c)}).handle(files)
+    return docs.select("doc_id", F.col("metadata.page").alias("page"), F.col("metadata.totalPages").alias("total_pages"), "content")
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT doc_id, unnest(range(0, greatest(1, len(text)), 2000)) AS i, text FROM t)
+    SELECT doc_id, CAST(count(*) AS INT) AS total_pages, string_agg({_PDF_TEXT.format('substr(text, i + 1, 2000)')}, chr(10) || chr(10) ORDER BY i) AS content FROM p GROUP BY doc_id""")
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as PDF files, read as one text each."""
+    files = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_as_pdf, "doc_id bigint, originalname string, mimetype string, buffer binary")
+    docs = HandlerRegistry({"application/pdf": PdfHandler(mode="file", cleaner=lambda c: c)}).handle(files)
+    return docs.select("doc_id", F.col("metadata.totalPages").alias("total_pages"), "content")
+
+
 def _no_pages(data: bytes) -> list[str]:
     return [""]
 
@@ -297,7 +346,8 @@ def hash_embed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTEXTS = f"""
     h AS (SELECT qid, coalesce(content, '') AS c, row_number() OVER (PARTITION BY qid ORDER BY rank_no, hit_no) AS i FROM hits WHERE coalesce(score, 0) >= {THRESHOLD}),
     ctx AS (SELECT qid, string_agg('[' || i || '] ' || c, chr(10) || chr(10) ORDER BY i) AS context FROM h GROUP BY qid)"""
-_USER = """CASE WHEN coalesce(context, '') = '' THEN 'Question: ' || query || chr(10) || chr(10) || 'You don''t have any relevant information to answer this question. Please say so politely.'
+_NO_CONTEXT = "'" + prompting.NO_CONTEXT.replace("'", "''") + "'"
+_USER = f"""CASE WHEN coalesce(context, '') = '' THEN 'Question: ' || query || {_NO_CONTEXT}
     ELSE 'Context: ' || context || chr(10) || chr(10) || 'Question: ' || query || chr(10) || chr(10) || 'Answer:' END"""
 
 
@@ -323,6 +373,13 @@ def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompts(spark, sf_dir).select("qid", F.col("prompt.model").alias("model"), F.explode("prompt.messages").alias("m")).select("qid", "model", "m.role", "m.content")
 
 
+@query("SELECT opt_no, CASE WHEN coalesce(overlap, 0) = 0 THEN 512 ELSE overlap END AS max_tokens FROM chunk_options")
+def prompt_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit in a prompt's context, for limits that are given, missing and 0."""
+    context = prompting.prompt_context(F.lit("?"), F.lit(None).cast("string"), F.col("overlap"))
+    return table(spark, sf_dir, "chunk_options").select("opt_no", context.alias("c")).select("opt_no", F.col("c.maxTokens").alias("max_tokens"))
+
+
 @query(f"WITH {_CONTEXTS} SELECT qid, CASE WHEN context IS NULL THEN '' ELSE 'stub: ' || {_USER} END AS response FROM questions LEFT JOIN ctx USING (qid) WHERE query <> ''")
 def rag_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = _prompts(spark, sf_dir).select("qid", F.when(F.col("context").isNotNull(), F.col("prompt")).alias("prompt"))
@@ -349,3 +406,33 @@ def rag_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark, scratch_path(spark, "store"), CONFIG, id_mode="content")
     engine.ingest(_uploads(spark, sf_dir).drop("doc_id"))
     return engine.answer(table(spark, sf_dir, "questions"))
+
+
+_GRID = "SELECT {0}, list(coalesce(x, 0) ORDER BY d)::DOUBLE[] AS v FROM (SELECT {0}, unnest(range(64)) AS d FROM {1}) LEFT JOIN {1}_x USING ({0}, d) GROUP BY {0}"
+
+
+def _hashed_sql(key: str, source: str, text: str) -> str:
+    """Tables {source}_x and {source}_v: hashing embeddings of a table, by component and as vectors."""
+    return f"""
+        {source}_p AS (SELECT {key}, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS INT) AS d, CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign
+            FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source})),
+        {source}_s AS (SELECT {key}, d, sum(CAST(sign AS DOUBLE)) AS v FROM {source}_p GROUP BY {key}, d),
+        {source}_x AS (SELECT {key}, d, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS FLOAT) AS DOUBLE) AS x FROM {source}_s WHERE v <> 0),
+        {source}_v AS ({_GRID.format(key, source)})"""
+
+
+@query(f"""
+    WITH t0 AS (SELECT {{'d': doc_id, 's': source}} AS key, {_ONE_LINE} AS text FROM documents), {_CHUNKS},
+    c0 AS (SELECT key.s AS source, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk, unnest(c) AS text FROM g),
+    i AS (SELECT DISTINCT 'chunk-' || sha256(coalesce(source, chr(30)) || chr(31) || chr(30) || chr(31) || chunk || chr(31) || text) AS id, text FROM c0),
+    q AS (SELECT qid, query FROM questions WHERE query <> ''), {_hashed_sql('id', 'i', 'text')}, {_hashed_sql('qid', 'q', 'query')},
+    r AS (SELECT b.qid, a.id, {_SQ} AS score, row_number() OVER (PARTITION BY b.qid ORDER BY {_SQ}, a.id) AS n FROM i_v a, q_v b),
+    h AS (SELECT qid, id, n, row_number() OVER (PARTITION BY qid ORDER BY n) AS k FROM r WHERE n <= {K} AND score >= {THRESHOLD}),
+    ctx AS (SELECT qid, string_agg('[' || k || '] ' || text, chr(10) || chr(10) ORDER BY k) AS context FROM h JOIN i USING (id) GROUP BY qid)
+    SELECT qid, CASE WHEN context IS NULL THEN '' ELSE ': ' || {_USER} END AS response FROM q LEFT JOIN ctx USING (qid)""")
+def rag_query_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything, as ``rag_query``, with a cleaner that only takes line breaks out: ingest, embed, upsert, search, answer."""
+    registry = HandlerRegistry({"text/plain": TextFileHandler(_one_line)})
+    engine = Engine(spark, scratch_path(spark, "store"), CONFIG, registry, id_mode="content")
+    engine.ingest(_uploads(spark, sf_dir).drop("doc_id"))
+    return engine.answer(table(spark, sf_dir, "questions"))

@@ -15,6 +15,7 @@ ENVIRONMENT = {
     "top_k": ("RAG_TOP_K", 3),
     "embedding_model": ("EMBEDDING_MODEL", ""),
     "generation_model": ("GENERATION_MODEL", ""),
+    "document_key": ("GEMINI_API_KEY", ""),
     "model_host": ("OLLAMA_HOST", "http://localhost:11434"),
     "store_host": ("CHROMADB_HOST", "localhost"),
     "store_port": ("CHROMADB_PORT", 8000),
@@ -32,6 +33,8 @@ class EngineConfig:
     top_k: int = 3
     embedding_model: str = ""
     generation_model: str = ""
+    #: Key of the service that embeds documents for retrieval; a model server needs none.
+    document_key: str = ""
     model_host: str = "http://localhost:11434"
     store_host: str = "localhost"
     store_port: int = 8000

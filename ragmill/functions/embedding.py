@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -55,25 +57,61 @@ class HashingEmbedder:
         return out / np.where(norms == 0, 1, norms)
 
 
+def post(url: str, body: dict, timeout: float, headers: dict | None = None, attempts: int = 3, pause: float = 0.5) -> dict:
+    """A JSON reply to a JSON body. Failed connections and replies that say to come again later are tried anew, after longer
+    and longer pauses; other errors raise at once."""
+    call = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **(headers or {})})
+    for attempt in range(attempts):
+        try:
+            with urllib.request.urlopen(call, timeout=timeout) as reply:
+                return json.load(reply)
+        except urllib.error.HTTPError as e:
+            if attempt == attempts - 1 or e.code not in (408, 429, 500, 502, 503, 504):
+                raise
+        except (urllib.error.URLError, TimeoutError, ConnectionError):
+            if attempt == attempts - 1:
+                raise
+        time.sleep(pause * 2**attempt)
+    raise AssertionError("unreachable")
+
+
 class HttpEmbedder:
     """Calls a model server once per batch. ``request`` makes the body from model and texts, ``vectors`` reads the reply; a
     reply without a vector for every text raises."""
 
-    def __init__(self, url: str, model: str, request: Callable[[str, Sequence[str]], dict] | None = None, vectors: Callable[[dict], Sequence] | None = None, timeout: float = 120, headers: dict | None = None):
-        self.url, self.model, self.timeout, self.headers = url, model, timeout, headers or {}
+    def __init__(self, url: str, model: str, request: Callable[[str, Sequence[str]], dict] | None = None, vectors: Callable[[dict], Sequence] | None = None, timeout: float = 120, headers: dict | None = None, attempts: int = 3):
+        self.url, self.model, self.timeout, self.headers, self.attempts = url, model, timeout, headers or {}, attempts
         self.request = request or _batch_request
         self.vectors = vectors or _batch_vectors
 
     def embed(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
-        body = json.dumps(self.request(self.model, list(texts))).encode()
-        call = urllib.request.Request(self.url, body, {"Content-Type": "application/json", **self.headers})
-        with urllib.request.urlopen(call, timeout=self.timeout) as reply:
-            found = self.vectors(json.load(reply))
+        found = self.vectors(post(self.url, self.request(self.model, list(texts)), self.timeout, self.headers, self.attempts))
         if not found or len(found) != len(texts) or any(v is None for v in found):
-            raise RuntimeError("Failed to generate embeddings")
+            raise RuntimeError(NO_EMBEDDINGS)
         return found
 
 
+# The error of a reply without vectors, the model that embeds documents for retrieval where none is named, and the
+# addresses of a model server's and of the retrieval service's calls.
+NO_EMBEDDINGS = "Failed to generate embeddings"
+DOCUMENT_MODEL = "gemini-1.5-embed-text-001"
+EMBED_PATH = "/api/embed"
+DOCUMENT_URL = "https://generativelanguage.googleapis.com/v1beta/models/{model}:batchEmbedContents"
+
+
+def server_embedder(host: str, model: str, **more) -> HttpEmbedder:
+    """Embeddings from a model server."""
+    return HttpEmbedder(host.rstrip("/") + EMBED_PATH, model, **more)
+
+
+def document_embedder(key: str, model: str = "", url: str = DOCUMENT_URL, **more) -> HttpEmbedder:
+    """Embeddings of documents for retrieval, from a service that wants a key."""
+    if not key:
+        raise ValueError("a key is needed to embed documents for retrieval")
+    model = model or DOCUMENT_MODEL
+    return HttpEmbedder(url.format(model=model), f"models/{model}", document_request, document_vectors, headers={"x-goog-api-key": key}, **more)
+
+
 def _batch_request(model: str, texts: Sequence[str]) -> dict:
     return {"model": model, "input": list(texts)}
 

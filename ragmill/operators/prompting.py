@@ -32,6 +32,11 @@ def build_prompt(content: Column, model: str) -> Column:
     return F.struct(F.lit(model).alias("model"), F.array(message("system", F.lit(SYSTEM)), message("user", content)).alias("messages"))
 
 
+def prompt_context(question: Column, context: Column, limit: Column) -> Column:
+    """struct<question, sources, maxTokens>: what a prompt is made of."""
+    return F.struct(question.alias("question"), context.alias("sources"), max_tokens(limit).alias("maxTokens"))
+
+
 def max_tokens(column: Column) -> Column:
     """The context's token limit; missing and 0 are the default. No model is sent it."""
     return F.when(F.coalesce(column, F.lit(0)) == 0, F.lit(DEFAULT_MAX_TOKENS)).otherwise(column)

@@ -164,7 +164,7 @@ def test_hashing_embedder(spark):
 
 
 def test_ingest_and_answer(spark, tmp_path):
-    engine = create_engine(spark, f"file://{tmp_path}/s", {"CHUNK_SIZE": "40", "RETRIEVAL_THRESHOLD": "0"}, id_mode="content")
+    engine = create_engine(spark, f"file://{tmp_path}/s", {"CHUNK_SIZE": "40", "RETRIEVAL_THRESHOLD": "0"}, stand_ins=True, id_mode="content")
     files = from_uploads(spark, [("a.txt", "text/plain", b"The boiler runs at night. The gasket is replaced yearly."), ("b.pdf", "application/pdf", pdf(b"Harbour rules", b"Second page here"))])
     engine.ingest(files)
     rows = engine.store.get().orderBy("metadata.source", "metadata.page", "metadata.chunk").collect()
@@ -199,7 +199,7 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("hello there")
     (tmp_path / "in" / "skip.html").write_text("<p>")
-    engine = Engine(spark, f"file://{tmp_path}/s", EngineConfig(), id_mode="content")
+    engine = Engine(spark, f"file://{tmp_path}/s", EngineConfig())
     for text in ("", "second file"):
         if text:
             (tmp_path / "in" / "b.txt").write_text(text)

@@ -12,6 +12,8 @@ from ragmill.operators.prompting import build_content, build_prompt
 
 @pytest.fixture(scope="module")
 def server():
+    calls = []
+
     class Handler(BaseHTTPRequestHandler):
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
@@ -19,6 +21,18 @@ def server():
                 reply = {"embeddings": [[float(len(t)), 1.0] for t in body["input"]]}
             elif self.path == "/documents":
                 reply = {"embeddings": [{"values": [float(len(r["content"]["parts"][0]["text"]))]} for r in body["requests"]]}
+            elif self.path == "/api/embed":
+                reply = {"embeddings": [[float(len(t)), 1.0] for t in body["input"]]}
+            elif self.path == "/late":
+                calls.append(self.path)
+                if len(calls) < 3:
+                    self.send_response(503)
+                    self.send_header("Content-Length", "0")
+                    self.end_headers()
+                    return
+                reply = {"embeddings": [[1.0] for _ in body["input"]]}
+            elif self.path == "/v1/m:batch":
+                reply = {"embeddings": [{"values": [1.0 if self.headers["x-goog-api-key"] == "k" and r["model"] == "models/m" else 0.0]} for r in body["requests"]]}
             elif self.path == "/broken":
                 reply = {}
             else:
@@ -52,3 +66,30 @@ def test_generation(spark, server):
     prompts = df.select("id", F.when(F.col("q").isNotNull(), build_prompt(build_content(F.col("c"), F.col("q")), "tiny")).alias("p"))
     got = {r.id: r.response for r in generate_column(prompts, "p", HttpGenerator(f"{server}/chat")).collect()}
     assert got == {1: "tiny read 2 messages", 2: None}
+
+
+def test_calls_are_tried_again_and_keys_are_sent(server):
+    from ragmill.functions.embedding import document_embedder, post
+
+    assert HttpEmbedder(f"{server}/late", "m").embed(["a"]) == [[1.0]]
+    assert document_embedder("k", "m", server + "/v1/{model}:batch").embed(["a"]) == [[1.0]]
+    assert document_embedder("k").url.endswith("gemini-1.5-embed-text-001:batchEmbedContents")
+    with pytest.raises(ValueError):
+        document_embedder("")
+    with pytest.raises(OSError):
+        post("http://127.0.0.1:9/x", {}, 1, attempts=2, pause=0.01)
+
+
+def test_engine_from_settings(spark, server, tmp_path):
+    from ragmill.plans.pipelines import create_engine
+    from ragmill.sources.files import from_uploads
+
+    root = f"file://{tmp_path}/s"
+    for env in ({}, {"EMBEDDING_MODEL": "m"}, {"GENERATION_MODEL": "g"}):
+        with pytest.raises(ValueError, match="stand-ins"):
+            create_engine(spark, root, env)
+    assert create_engine(spark, root, {"GEMINI_API_KEY": "k", "GENERATION_MODEL": "g"}).embedder.model == "models/gemini-1.5-embed-text-001"
+    engine = create_engine(spark, root, {"EMBEDDING_MODEL": "m", "GENERATION_MODEL": "g", "OLLAMA_HOST": server, "RETRIEVAL_THRESHOLD": "0"})
+    engine.ingest(from_uploads(spark, [("a", "text/plain", b"five!")]))
+    assert [list(r.embedding) for r in engine.store.get().collect()] == [[5.0, 1.0]]
+    assert engine.query("what?", max_tokens=5) == "g read 2 messages"
