@@ -36,6 +36,8 @@ TREES, DEEPEST, RECALL = 40, 6, 0.999
 BLOCK, BLOCKS_TOGETHER, TEXTS_TOGETHER = 4_096, 4, 500
 #: Records per bucket and per slot of texts that their numbers aim at when a forest is made.
 PER_BUCKET, PER_SLOT = 40_000, 40_000
+#: Rounds after which rows that are still open are settled by component, and marks of a component that a task takes at most.
+ROUNDS, MOST_TOGETHER = 6, 500_000
 # Kinds of rows beside those of problem 1: marks are hashes of word multisets and of ids.
 PRINTS, IDS, HELD, HELD_IDS, READ = range(20, 25)
 WINDOWS = "bucket int, kind tinyint, first bigint, last bigint, base bigint, blob binary"
@@ -376,22 +378,62 @@ def repeats(history: DataFrame, incoming: DataFrame, history_key: str, key: str,
     return forest.repeats(incoming, key, batch, id_, text)
 
 
-def settle(marks: DataFrame) -> DataFrame:
+def settle(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(ord): rows that come after an accepted row with one of their marks. ``marks``: (ord, mark, own).
 
     A row is accepted once no row before it that has one of its marks as its own is open or accepted. Every round settles at
-    least the first open row of every mark, on minima per mark that are aggregated before they meet the rows.
+    least the first open row of every mark, on minima per mark that are aggregated before they meet the rows. What is still
+    open after some rounds, such as long chains, is settled component by component, each in its order by one task, as long as
+    no component is larger than ``MOST_TOGETHER``; larger ones go on in rounds.
     """
     # Marks of one row only, and rows with no other marks, are settled at once.
     shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("own"), F.col("ord"))).alias("first")).where("n > 1 and first is not null").select("mark")
     marks = materialise(marks.join(shared, "mark", "left_semi"), "shared-marks")
     state = materialise(marks.select("ord").distinct().withColumn("status", F.lit(0)), "state")  # 0 open, 1 accepted, 2 repeats
+    done = 0
     while not state.where("status = 0").isEmpty():
         alive = marks.where("own").join(state.where("status < 2"), "ord")
         first = alive.groupBy("mark").agg(F.min("ord").alias("any"), F.min(F.when(F.col("status") == 1, F.col("ord"))).alias("accepted"))
         seen = marks.join(state.where("status = 0").select("ord"), "ord", "left_semi").join(first, "mark", "left")
-        yes = lambda c: F.coalesce(F.max(F.col(c) < F.col("ord")), F.lit(False))
-        judged = seen.groupBy("ord").agg(yes("accepted").alias("after"), yes("any").alias("waits"))
-        judged = judged.select("ord", F.when(F.col("after"), 2).when(F.col("waits"), 0).otherwise(1).alias("now"))
+        if done >= rounds and (rest := _together(seen)) is not None:
+            judged = rest
+        else:
+            yes = lambda c: F.coalesce(F.max(F.col(c) < F.col("ord")), F.lit(False))
+            judged = seen.groupBy("ord").agg(yes("accepted").alias("after"), yes("any").alias("waits"))
+            judged = judged.select("ord", F.when(F.col("after"), 2).when(F.col("waits"), 0).otherwise(1).alias("now"))
         state = materialise(state.join(judged, "ord", "left").select("ord", F.coalesce("now", "status").alias("status")), "state")
+        done += 1
     return state.where("status = 2").select("ord")
+
+
+def _together(seen: DataFrame) -> DataFrame | None:
+    """(ord, now) of all open rows, settled in their order within each component of rows that share marks; None if a component
+    is too large for a task. ``seen``: (ord, mark, own, accepted), the last the first accepted row with the mark."""
+    seen = materialise(seen.select("ord", "mark", "own", "accepted"), "open-marks")
+    hubs = seen.groupBy("mark").agg(F.min("ord").alias("hub"))
+    links = seen.select("ord", "mark").join(hubs, "mark").where("ord <> hub").select(F.col("hub").alias("a"), F.col("ord").alias("b")).distinct()
+    roots = neardup.components(links)
+    grouped = seen.join(roots.withColumnRenamed("node", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord"))
+    if not grouped.groupBy("root").count().where(F.col("count") > MOST_TOGETHER).isEmpty():
+        return None
+
+    def run(group: pa.Table) -> pa.Table:
+        place = lambda o: None if o is None else (o["batch"] is not None, o["batch"] or 0, o["key"])
+        rows: dict = {}
+        accepted: dict = {}
+        for o, mark, own, first in zip(*(group.column(c).to_pylist() for c in ("ord", "mark", "own", "accepted"))):
+            rows.setdefault(place(o), (o, []))[1].append((mark, own))
+            if first is not None:
+                accepted[mark] = place(first)
+        out = []
+        for at in sorted(rows):
+            o, own_marks = rows[at]
+            late = any(m in accepted and accepted[m] < at for m, _ in own_marks)
+            if not late:
+                for m, own in own_marks:
+                    if own:
+                        accepted[m] = min(accepted.get(m, at), at)
+            out.append((o, 2 if late else 1))
+        return pa.table([pa.array([o for o, _ in out], group.schema.field("ord").type), pa.array([n for _, n in out], pa.int32())], names=["ord", "now"])
+
+    return grouped.select("root", "ord", "mark", "own", "accepted").groupBy("root").applyInArrow(run, f"ord {grouped.schema['ord'].dataType.simpleString()}, now int")

@@ -224,6 +224,51 @@ def test_chain_is_settled_in_order(spark):
     assert got == repeats_brute([], new) == {(i, 1) for i in (1, 3, 5, 7)}
 
 
+@pytest.mark.parametrize("rounds, most", [(1, 500_000), (2, 500_000), (1, 5)])
+def test_a_chain_is_settled_alike_in_rounds_and_by_component(spark, monkeypatch, rounds, most):
+    monkeypatch.setattr(history, "MOST_TOGETHER", most)
+    rng = random.Random(2)
+    marks = [(b, k, f"t{k}", True) for b, k in enumerate(range(12))] + [(k, k, f"t{j}", False) for k in range(12) for j in (k - 1, k + 1) if 0 <= j < 12]
+    marks += [(None if k < 45 else 1, k, f"i{rng.randrange(6)}", True) for k in range(40, 60)]
+    rows = sorted({(-1 if b is None else b, k) for b, k, _, _ in marks})
+    own = lambda r: {m for b, k, m, o in marks if o and (-1 if b is None else b, k) == r}
+    every = lambda r: {m for b, k, m, _ in marks if (-1 if b is None else b, k) == r}
+    held, late = set(), set()
+    for r in rows:
+        if held & every(r):
+            late.add(r[1])
+        else:
+            held |= own(r)
+    df = spark.createDataFrame([((b, k), m, o) for b, k, m, o in marks], "ord struct<batch:int,key:bigint>, mark string, own boolean")
+    assert {r.ord.key for r in history.settle(df, rounds).collect()} == late and len(late) > 15
+
+
+def test_hot_groups_are_compared_block_by_block(monkeypatch):
+    monkeypatch.setattr(prefixes, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    forest = prefixes.Forest(40, 6, 1e-3)
+    rows = 120
+    label = np.repeat(np.array([5, 6, 5 << 16, 9 << 40], np.uint64), 30) + (rng.integers(0, 3, rows).astype(np.uint64) << np.uint64(1))
+    fields = (label, np.arange(rows) + 2**40 * rng.integers(0, 2), rng.integers(5, 90, rows).astype(np.uint16), rng.integers(0, 4, rows).astype(np.uint64), np.zeros(rows, np.uint32), np.arange(rows).astype(np.uint16))
+    entries = prefixes.Entries(*fields)
+    pairs = lambda parts: set(zip(*(x.tolist() for x in prefixes.distinct_pairs(parts))))
+    whole, hot = pairs(prefixes.self_pairs(entries, forest)), []
+    cold = pairs(prefixes.self_pairs(entries, forest, hot))
+    blocks = pairs(p for d, one, two in hot for p in prefixes.block_pairs(d, one, two, forest))
+    assert hot and len(whole) > 100 and cold | blocks == whole
+
+
+def test_cross_pairs_are_those_of_both_sides_together():
+    rng = np.random.default_rng(9)
+    forest = prefixes.Forest(40, 6, 1e-3)
+    rows = 300
+    fields = (rng.integers(0, 6, rows).astype(np.uint64) << np.uint64(16), np.arange(rows), rng.integers(5, 90, rows).astype(np.uint16), rng.integers(0, 4, rows).astype(np.uint64), np.zeros(rows, np.uint32), np.arange(rows).astype(np.uint16))
+    one, two = (prefixes.Entries(*(x[part] for x in fields)) for part in (slice(0, 150), slice(150, rows)))
+    cross = set(zip(*(x.tolist() for x in prefixes.distinct_pairs(prefixes.cross_pairs(one, two, forest)))))
+    both = set(zip(*(x.tolist() for x in prefixes.distinct_pairs(prefixes.self_pairs(prefixes.Entries(*fields), forest)))))
+    assert cross == {(a, b) for a, b in both if (a < 150) != (b < 150)} and cross
+
+
 def entries_of(forest):
     from ragmill.llm.prefixes import fields_of
 
