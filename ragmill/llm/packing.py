@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragmill.llm.tokens import TOKENIZER_DIR, VOCABULARY, encoder
+from ragmill.llm.tokens import TOKENIZER_DIR, VOCABULARY, shipped
 from ragmill.session import materialise
 
 CAPACITY = 2048
@@ -150,8 +150,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
 def pack_texts(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """``pack`` with the texts' token counts as sizes; null and empty texts have size 0."""
 
+    ready = shipped(df.sparkSession, tokenizer_dir, vocabulary)
+
     def sizes():
-        enc = encoder(tokenizer_dir, vocabulary)
+        enc = ready()
         return lambda texts: [len(enc.encode(t)) // 4 for t in texts]
 
     return pack(df, key, text, capacity, open_bins, sizes)

@@ -13,10 +13,11 @@ from __future__ import annotations
 import base64
 import functools
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ragmill.llm.arrow import int_lists, over_batches
 
@@ -78,11 +79,11 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 class Encoder:
     """Encodes and decodes with one vocabulary; keeps what runs of text encode to."""
 
-    def __init__(self, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
+    def __init__(self, tokens: list[bytes]):
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(os.path.join(tokenizer_dir, vocabulary + ".tiktoken"))
+        self.tokens = tokens
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
         self.names = byte_alphabet()
         self.to_names = dict(enumerate(self.names))
@@ -128,21 +129,44 @@ class Encoder:
             first = False
         return b"".join(out)
 
+    def decode_bytes(self, ids) -> bytes:
+        """The bytes the ids stand for: the exact inverse also where ids are cut within a character."""
+        return b"".join(self.tokens[i] for i in ids)
+
     def decode(self, ids) -> str:
-        return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
 def encoder(tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(tokenizer_dir, vocabulary)
+    """The encoder of a vocabulary file on this machine."""
+    return Encoder(read_ranks(os.path.join(tokenizer_dir, vocabulary + ".tiktoken")))
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def shipped(spark: SparkSession, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Callable[[], Encoder]:
+    """A maker of the encoder for tasks: the driver alone reads the file and sends its tokens, which are less than a megabyte;
+    a worker process makes the encoder once."""
+    tokens = spark.sparkContext.broadcast(read_ranks(os.path.join(tokenizer_dir, vocabulary + ".tiktoken")))
+    name = tokenizer_dir, vocabulary
+
+    def make() -> Encoder:
+        if name not in _ENCODERS:
+            _ENCODERS[name] = Encoder(tokens.value)
+        return _ENCODERS[name]
+
+    return make
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): one row per row of ``df``. No shuffle; a null or empty text has the empty list. Repeated keys repeat."""
 
+    ready = shipped(df.sparkSession, tokenizer_dir, vocabulary)
+
     def make():
-        enc = encoder(tokenizer_dir, vocabulary)
+        enc = ready()
 
         def work(batch: pa.RecordBatch):
             lists = int_lists([enc.encode(t) for t in batch.column(1).to_pylist()])
@@ -157,8 +181,10 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_dir: str = TOKEN
 def count_tokens(df: DataFrame, keys: list[str], text: str, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(keys..., n_tokens): like ``encode_corpus`` without handing the ids out."""
 
+    ready = shipped(df.sparkSession, tokenizer_dir, vocabulary)
+
     def make():
-        enc = encoder(tokenizer_dir, vocabulary)
+        enc = ready()
 
         def work(batch: pa.RecordBatch):
             n = [len(enc.encode(t)) // 4 for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -173,8 +199,10 @@ def count_tokens(df: DataFrame, keys: list[str], text: str, tokenizer_dir: str =
 def decode_corpus(df: DataFrame, key: str, ids: str, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text): the inverse of ``encode_corpus``; a null list stays null, an empty list gives the empty text."""
 
+    ready = shipped(df.sparkSession, tokenizer_dir, vocabulary)
+
     def make():
-        enc = encoder(tokenizer_dir, vocabulary)
+        enc = ready()
 
         def work(batch: pa.RecordBatch):
             texts = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
