@@ -316,6 +316,13 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files").select("file_no", cleaning.decode_utf8(F.col("buffer")).alias("text"))
 
 
+@query("SELECT file_no, decode(buffer) AS text FROM files WHERE TRY(decode(buffer)) IS NOT NULL")
+def decode_text_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploads whose bytes are UTF-8 throughout, as text."""
+    files = table(spark, sf_dir, "files").where(F.is_valid_utf8(F.col("buffer").cast("string")))
+    return files.select("file_no", cleaning.decode_utf8(F.col("buffer")).alias("text"))
+
+
 @query("SELECT qid, query FROM questions WHERE query IS NOT NULL AND query <> ''")
 def questions_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "questions").where(rows.is_asked(F.col("query"))).select("qid", "query")

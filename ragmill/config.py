@@ -7,6 +7,8 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from ragmill.messages import OVERLAP
+
 # Environment variable and default of every setting.
 ENVIRONMENT = {
     "port": ("PORT", 3000),
@@ -49,7 +51,7 @@ class EngineConfig:
         if self.chunk_overlap < 0:
             raise ValueError("chunk_overlap must not be negative")
         if self.chunk_overlap >= self.chunk_size:
-            raise ValueError("Overlap must be smaller than chunk size.")
+            raise ValueError(OVERLAP)
         if self.top_k < 1:
             raise ValueError("top_k must be at least 1")
         if math.isnan(self.threshold):

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ragmill.messages import NO_EMBEDDINGS
 from ragmill.session import extended
 
 
@@ -91,9 +92,8 @@ class HttpEmbedder:
         return found
 
 
-# The error of a reply without vectors, the model that embeds documents for retrieval where none is named, and the
+# The model that embeds documents for retrieval where none is named, and the
 # addresses of a model server's and of the retrieval service's calls.
-NO_EMBEDDINGS = "Failed to generate embeddings"
 DOCUMENT_MODEL = "gemini-1.5-embed-text-001"
 EMBED_PATH = "/api/embed"
 DOCUMENT_URL = "https://generativelanguage.googleapis.com/v1beta/models/{model}:batchEmbedContents"

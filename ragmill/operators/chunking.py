@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from ragmill.functions.text import WS
+from ragmill.messages import OVERLAP
 from ragmill.session import extended
 
 # Fixed value: the separators, from the strongest break to none.
@@ -31,7 +32,7 @@ class ChunkingOptions:
 
     def __post_init__(self) -> None:
         if self.overlap is not None and self.overlap >= self.chunk_size:
-            raise ValueError("Overlap must be smaller than chunk size.")
+            raise ValueError(OVERLAP)
         if self.chunk_size < 1:
             raise ValueError("chunk_size must be at least 1")
         if self.overlap is not None and self.overlap < 0:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragmill.messages import NO_FILES
+
 #: The metadata of documents and chunks; a key that is absent is a null field.
 METADATA = "struct<source:string,mimeType:string,page:int,totalPages:int,chunk:int,totalChunks:int,extra:map<string,string>>"
 FIELDS = ("source", "mimeType", "page", "totalPages", "chunk", "totalChunks", "extra")
@@ -22,7 +24,7 @@ def merge_metadata(source: Column, mime_type: Column, own: Column) -> Column:
     return F.struct(*(F.coalesce(own[f], base[f]) if f in base else own[f] for f in FIELDS)).cast(METADATA)
 
 
-def require_rows(df: DataFrame, message: str = "No files provided for ingestion") -> DataFrame:
+def require_rows(df: DataFrame, message: str = NO_FILES) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df

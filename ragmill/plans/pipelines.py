@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ragmill.config import EngineConfig
 from ragmill.functions.embedding import Embedder, HashingEmbedder, document_embedder, embed_column, server_embedder
 from ragmill.functions.generation import EchoGenerator, Generator, generate_column, server_generator
+from ragmill.messages import NO_QUERY
 from ragmill.operators import prompting, rows, search
 from ragmill.operators.chunking import Chunker, ChunkingOptions, RecursiveChunker, chunk_id, chunk_rows
 from ragmill.session import materialise
@@ -88,7 +89,7 @@ class Engine:
     def query(self, question: str | None, top_k: int | None = None, threshold: float | None = None, max_tokens: int | None = None) -> str:
         """The answer to one question; a missing or empty one raises."""
         if not question:
-            raise ValueError("Query is required")
+            raise ValueError(NO_QUERY)
         asked = self.spark.createDataFrame([(0, question)], "qid bigint, query string")
         return self.answer(asked, top_k, threshold, max_tokens).first()["response"]
 

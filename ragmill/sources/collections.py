@@ -72,7 +72,7 @@ class VectorStore:
         try:
             return self._rows(*self._live())
         except Exception:
-            log.exception("Error getting or creating collection %s", self.path)
+            log.exception("collection %s cannot be read", self.path)
             raise
 
     def _rows(self, base: str | None, deltas: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from ragmill.functions import text as cleaning
+from ragmill.messages import HANDLER_NOT_SET, NO_HANDLER
 from ragmill.operators.rows import METADATA, metadata
 from ragmill.session import extended
 
@@ -117,7 +118,7 @@ class HandlerRegistry:
     def resolve(self, mimetype: str, params: Mapping[str, str] | None = None) -> FileHandler:
         handler = self.handlers.get(mimetype)
         if handler is None:
-            raise ValueError(f"No file handler found for MIME type: {mimetype}")
+            raise ValueError(NO_HANDLER.format(mimetype))
         return handler if hasattr(handler, "handle") else handler(dict(params or {}))
 
     def unsupported(self, files: DataFrame) -> DataFrame:
@@ -129,10 +130,10 @@ class HandlerRegistry:
         """Every file through its type's handler. A type without handler raises before any file is read."""
         missing = self.unsupported(files).head(1)
         if missing:
-            raise ValueError(f"No file handler found for MIME type: {missing[0]['mimetype']}")
+            raise ValueError(NO_HANDLER.format(missing[0]["mimetype"]))
         parts = [self.resolve(m, params).handle(files.where(F.col("mimetype") == m)) for m in self.handlers]
         if not parts:
-            raise ValueError("File handler not set")
+            raise ValueError(HANDLER_NOT_SET)
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
