@@ -119,6 +119,24 @@ def test_pages_are_read_alike_whatever_vocabulary_every_task_has(spark, data, mo
     assert len(whole[0]) > 50 and run() == whole
 
 
+def test_headers_of_a_chapter_in_a_large_file(spark):
+    rng = random.Random(12)
+    rows, truth = [], set()
+    body = lambda: " ".join(rng.choice(WORDS) for _ in range(7)) + "."
+    again = body()  # a sentence that begins some pages is no header
+    for page in range(1, 901):
+        lines = [body() for _ in range(6)]
+        if 100 <= page < 112:
+            lines.insert(0, "Chapter on seals" if page != 105 else "Chaptcr on seals")
+            truth.add((page, 1))
+        elif page % 60 == 0:
+            lines.insert(0, again)
+        rows.append((page, 1, "\n".join(lines), (None, "application/pdf", page, 900, None, None, None)))
+    df = spark.createDataFrame(rows, f"rec_no long, file_no long, content string, metadata {META}")
+    got = {(r.key, r.line_no) for r in pages.found_lines(df, "rec_no").where("kind = 'furniture'").collect()}
+    assert got == truth
+
+
 def test_no_pages(spark):
     df = page_table(spark, [(1, 1, "x", "text", None)])
     assert pages.found_lines(df.where("false"), "rec_no").count() == 0
