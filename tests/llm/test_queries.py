@@ -26,3 +26,25 @@ def test_query(spark, data, name):
         for path in glob.glob(f"{data}/*.parquet"):
             db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
         assert values(got) == values(db.execute(queries.SQL[name]).df())
+
+
+def test_no_step_of_any_query_pairs_all_rows(spark, data, monkeypatch):
+    import re
+
+    from ragmill import session
+    from ragmill.llm import boilerplate, history, knn, lookalikes, neardup, packing, pages
+
+    seen = []
+
+    def watched(df, name):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        seen.append(name)
+        assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", text), name
+        return session.materialise(df, name)
+
+    for module in (boilerplate, history, knn, lookalikes, neardup, packing, pages):
+        monkeypatch.setattr(module, "materialise", watched)
+    for name in ("p1_groups", "p2_found", "p3_cleaned", "p5_found", "p6_found", "p8_bins", "p9_found"):
+        df = queries.QUERIES[name](spark, data)
+        assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", df._jdf.queryExecution().executedPlan().toString()), name
+    assert len(seen) > 20
