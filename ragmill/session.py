@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return qualified(spark, configured)
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL
@@ -50,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: str | None = None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, so that it means the same to Spark and to readers in tasks."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", full)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run's intermediate table; no two calls share one."""
     path = f"{shared_dir(spark)}/ragmill-{name}-{uuid.uuid4().hex}"

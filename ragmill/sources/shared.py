@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 
 def parquet_files(paths: list[str]) -> Iterator:
-    """Open Parquet files of folders, in name order, in whatever file system their addresses name; a missing folder has none."""
+    """Open Parquet files of folders, in name order, in whatever file system their addresses name. A missing folder has none, but
+    the one it would be in has to be there."""
     from pyarrow import fs
     from pyarrow import parquet as pq
 
     for path in paths:
         system, at = fs.FileSystem.from_uri(path)
         found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        if not found and system.get_file_info(at.rstrip("/").rpartition("/")[0]).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"{path} is not where this task can read")
         for info in sorted(found, key=lambda i: i.path):
             if info.base_name.endswith(".parquet"):
                 yield pq.ParquetFile(system.open_input_file(info.path))

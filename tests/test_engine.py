@@ -214,3 +214,16 @@ def test_scratch_tables_are_removed(spark):
     df = materialise(spark.range(3), "numbers")
     assert df.count() == 3 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_paths_mean_the_same_to_spark_and_to_tasks(spark, tmp_path, monkeypatch):
+    from ragmill.session import qualified, shared_dir
+    from ragmill.sources.shared import parquet_files
+
+    assert qualified(spark, str(tmp_path) + "/") == qualified(spark, f"file:{tmp_path}") == f"file://{tmp_path}"
+    assert shared_dir(spark).startswith("file:///")
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert sum(f.metadata.num_rows for f in parquet_files([f"file://{tmp_path}/t"])) == 3
+    assert list(parquet_files([f"file://{tmp_path}/none"])) == []
+    with pytest.raises(FileNotFoundError):
+        list(parquet_files([f"file://{tmp_path}/no/none"]))
