@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ragmill.llm import neardup, prefixes, words
 from ragmill.llm.neardup import LABELS, LOCAL, PAIRS, Parts, Unit, entry_parts, met_rows, parities, shuffle_rows, verified
 from ragmill.llm.prefixes import Entries, cross_pairs, distinct_pairs, integer_key, packed, self_pairs
-from ragmill.session import materialise, released, scratch_path
+from ragmill.session import materialise, qualified, released, scratch_path
 from ragmill.sources.shared import parquet_files, row_groups_with
 
 #: Trees, tokens of a label, and the expected share of the texts at the threshold that a search finds.
@@ -228,7 +228,7 @@ class Forest:
     """
 
     def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, texts_together: int = TEXTS_TOGETHER):
-        self.spark, self.path, self.block, self.texts_together = spark, path.rstrip("/"), block, texts_together
+        self.spark, self.path, self.block, self.texts_together = spark, qualified(spark, path), block, texts_together
         self.plan = prefixes.Forest(TREES, DEEPEST, 1 - RECALL)
         name = next((n for n in self._names() if n.startswith("forest-")), None)
         if name is None:
