@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragmill.config import EngineConfig
 from ragmill.functions import text as cleaning
-from ragmill.functions.embedding import HashingEmbedder, embed_column, token_places
+from ragmill.functions.embedding import HashingEmbedder, embed_column, token_place, tokens
 from ragmill.functions.generation import EchoGenerator, generate_column
 from ragmill.operators import prompting, rows, search
 from ragmill.operators.chunking import ChunkingOptions, RecursiveChunker, SlidingWindowChunker, chunk_rows
@@ -343,9 +343,11 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SQL["hash_embed"].replace("round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 6) AS value", "v AS value"))
 def hash_embed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hashing embedder's sums before scaling, in generated code only."""
-    places = table(spark, sf_dir, "documents").select("doc_id", F.explode(token_places(F.col("text"))).alias("p"))
-    return places.groupBy("doc_id", F.col("p.dim").alias("dim")).agg(F.sum("p.sign").alias("value")).where("value <> 0")
+    """The hashing embedder's sums before scaling, in generated code only: tokens are rows before anything is computed of them."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).where("w <> ''")
+    dim, sign = token_place(F.col("w"))
+    placed = words.select("doc_id", dim.alias("dim"), sign.alias("sign"))
+    return placed.groupBy("doc_id", "dim").agg(F.sum("sign").alias("value")).where("value <> 0")
 
 
 # -- prompts and whole pipelines ----------------------------------------------------------------------------------------

@@ -147,7 +147,14 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, column: str = "em
     return df.mapInArrow(run, schema)
 
 
-def token_places(text: Column, dim: int = 64) -> Column:
-    """The hashing embedder's tokens as array<struct<dim, sign>>, in generated code."""
-    tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.struct((F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("dim"), F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("sign")))
+def tokens(text: Column) -> Column:
+    """The hashing embedder's tokens and perhaps empty strings, to be exploded."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
+def token_place(token: Column, dim: int = 64) -> tuple[Column, Column]:
+    """(component, sign) that the hashing embedder gives a token, in generated code."""
+    digest = F.md5(token)
+    at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
+    even = F.substring(digest, 9, 1).isin(*"02468ace")
+    return at.cast("int"), F.when(even, 1.0).otherwise(-1.0)
