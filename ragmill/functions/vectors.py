@@ -1,5 +1,5 @@
-"""Distances between vectors: as Column expressions (in generated code where one side is given, element by element where both
-are columns), and for blocks of vectors."""
+"""Distances between vectors: as Column expressions, which Spark evaluates element by element, and for blocks of vectors, which
+search uses."""
 
 from __future__ import annotations
 
@@ -32,34 +32,6 @@ def distance(a: Column, b: Column, metric: str = "sqeuclidean") -> Column:
     return F.when(F.size(a) == F.size(b), value)
 
 
-#: Components up to which a distance to a given vector is written out in full.
-WRITTEN_OUT = 256
-
-
-def _total(terms: list[Column]) -> Column:
-    """A balanced sum, so that the expression stays shallow."""
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
-    return terms[0]
-
-
-def distance_to(a: Column, query: list[float], metric: str = "sqeuclidean") -> Column:
-    """``distance`` to one given vector, written out component by component: no lambda, so it is compiled with the scan."""
-    q = [float(x) for x in query]
-    if not 0 < len(q) <= WRITTEN_OUT:
-        return distance(a, F.array(*(F.lit(x) for x in q)).cast("array<double>"), metric)
-    x = [F.get(a, F.lit(i)).cast("double") for i in range(len(q))]
-    if metric == "sqeuclidean":
-        value = _total([(c - y) * (c - y) for c, y in zip(x, q)])
-    elif metric == "cosine":
-        value = 1 - _total([c * y for c, y in zip(x, q)]) / F.sqrt(_total([c * c for c in x]) * F.lit(float(np.dot(q, q))))
-    elif metric == "ip":
-        value = 1 - _total([c * y for c, y in zip(x, q)])
-    else:
-        raise ValueError(f"metric must be one of {METRICS}")
-    return F.when(F.size(a) == len(q), value)
-
-
 def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """(queries, rows): the same for blocks, in double precision."""
     if metric == "sqeuclidean":
@@ -72,3 +44,8 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     if metric == "ip":
         return 1 - queries @ rows.T
     raise ValueError(f"metric must be one of {METRICS}")
+
+
+def exact_distances(query: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
+    """The same of one query, without the digits that expanding the square loses."""
+    return ((rows - query) ** 2).sum(axis=1) if metric == "sqeuclidean" else distances(query[None, :], rows, metric)[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ragmill.functions.vectors import distance_to, distances
+from ragmill.functions.vectors import METRICS, distances, exact_distances
 from ragmill.session import materialise, scratch_path
 from ragmill.sources.shared import parquet_files
 
@@ -24,9 +25,27 @@ KEPT = 64 << 20
 def similar(collection: DataFrame, query: list[float], k: int, metric: str = "sqeuclidean", id_: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, score, rank): the k nearest rows to one vector, nearest first, ties by id. Every task keeps k rows before any are
     moved. Rows whose vector is null, of another length or without a distance are no hits."""
-    score = distance_to(F.col(vector), query, metric)
-    found = collection.select(F.col(id_).alias("id"), score.alias("score")).where("score is not null and not isnan(score)")
-    top = found.orderBy("score", "id").limit(k)
+    kind = collection.schema[id_].dataType
+    q = np.asarray([float(x) for x in query], dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple] = []
+        for batch in batches:
+            at = np.flatnonzero(batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == len(q))
+            ids, vectors = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)).flatten()
+            x = vectors.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, len(q))
+            score = exact_distances(q, x, metric)
+            good = np.flatnonzero(~np.isnan(score))
+            if len(good) > k:  # the k best and what ties with the last of them
+                good = good[score[good] <= np.partition(score[good], k - 1)[k - 1]]
+            found = zip(score[good].tolist(), ids.take(pa.array(good)).to_pylist())
+            best = heapq.nsmallest(k, [*best, *((s, i) for s, i in found)], key=lambda r: (r[0], r[1] is not None, r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([i for _, i in best], to_arrow_type(kind)), pa.array([s for s, _ in best], pa.float64())], names=["id", "score"])
+
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    rows = collection.select(F.col(id_).alias("id"), F.col(vector).alias("v")).where("v is not null")
+    top = rows.mapInArrow(run, f"id {kind.simpleString()}, score double").orderBy("score", "id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))
 
 
