@@ -399,3 +399,24 @@ def test_mutual_and_too_few(spark):
     assert [(r.a, r.b) for r in knn.mutual(got, 0.9).collect()] == [(0, 1)]
     assert knn.nearest(vectors(spark, np.zeros((0, 3))), "id", "embedding", 10, 3).count() == 0
     assert knn.nearest(vectors(spark, np.ones((1, 3))), "id", "embedding", 10, 3).count() == 0
+
+
+def test_nearest_in_rounds_is_the_same_and_sends_less_at_once(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 150)
+    monkeypatch.setattr(knn, "BLOCK", 100)  # the hot cell has several blocks
+    x, sent, written = clustered(1500, 500), [], knn.materialise
+    x[700:720] = x[5]
+
+    def watched(df, name):
+        if name in ("lists", "best"):
+            sent.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(knn, "materialise", watched)
+    run = lambda: {(r.key, r.neighbour, round(r.score, 6), r["rank"]) for r in knn.nearest(vectors(spark, x), "id", "embedding", 10, 16).collect()}
+    monkeypatch.setattr(knn, "PER_ROUND", 10**6)
+    whole = run()
+    assert sent == ["best"]
+    monkeypatch.setattr(knn, "PER_ROUND", 1)
+    sent.clear()
+    assert run() == whole and len(whole) == 10 * len(x) and len(sent) > 3
