@@ -17,11 +17,12 @@ in order; an end-of-line hyphen without a next running line stays.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -50,24 +51,23 @@ SOFT = "\u00ad\u00ac"
 KNOWN_SHARE, KNOWN_LEAST = 1e-6, 4
 #: Files that the counts of rare words are cut into, and rows of their row groups.
 RARE_BUCKETS, RARE_TOGETHER = 64, 5_000
-#: Bits that stand for the beginnings of rare words.
+#: Bits that stand for the beginnings of rare words, and as many for those of long ones.
 START_BITS = 1 << 24
 #: How many times more frequent than the word as seen its repair must be.
 RATIO = 20
 #: A beginning or end of lines marks headers and footers if this share of at least so many such lines lie at page edges.
 EDGE_SHARE, EDGE_LEAST = 0.9, 8
-#: Beginnings and ends are used from this share of all words on, which bounds their number.
-FORM_SHARE = 1e-6
 #: Share of a file's pages that a line at their edges recurs on. In large files so many pages are enough for lines that never
-#: end like a sentence, such as the headers of a chapter, as long as they are this share of the pages, which bounds a task's memory.
-FILE_SHARE, FEW_PAGES, FEW_SHARE = 0.02, 8, 2e-4
+#: end like a sentence, such as the headers of a chapter.
+FILE_SHARE, FEW_PAGES = 0.02, 8
+#: Lines of more letters are compared by their longest common subsequence, and don't travel with every page of a file.
+LONG_LINE = 120
 #: Lines at either end of a page that may be furniture.
 EDGE_LINES = 2
-#: Words from this length on are looked at for misreadings, and up to this one for repairs that are rare words.
-SHORTEST, RARE_LONGEST = 3, 48
+#: Words from this length on are looked at for misreadings; longer ones than the second have bits of their own, which stay few.
+SHORTEST, LONG_WORD = 3, 48
 WORD = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
-_TAIL = re.compile(r"([^\W_]+)([" + HYPHENS + r"])$")
 _SENTENCE_ENDS = (".", ",", ";", ":", "!", "?", "-", "\u2010")
 _ENDS = ".,;:!?()\"'-"
 _GOES_ON = re.compile("[" + HYPHENS + r"][^\S\n]*\n\s*([^\W_]+)")
@@ -95,7 +95,7 @@ WEAK = {"number", "roman", "title", "of", "bar", "bar-end"}
 
 def page_number(line: str) -> tuple[str, int] | None:
     text = line.strip()
-    if not text or len(text) > 100 or (len(text) > 40 and not text[0].isdigit() and not text[-1].isdigit()):
+    if not text or (len(text) > 40 and not text[0].isdigit() and not text[-1].isdigit()):
         return None
     if not _DIGIT.search(text):
         m = STYLES[-1][1].fullmatch(text) if len(text) < 16 else None
@@ -127,10 +127,27 @@ def alike(a: str, b: str, least: float = 0.8) -> bool:
         return True
     if min(len(a), len(b)) < least * max(len(a), len(b)) or len(a) < 4:
         return False
+    if max(len(a), len(b)) > LONG_LINE:
+        return 2 * in_common(a, b) >= least * (len(a) + len(b))
     m = SequenceMatcher(None, a, b, autojunk=False)
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+def in_common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by the bits of one number."""
+    same = len(os.path.commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    free = every
+    for c in b:
+        met = free & places.get(c, 0)
+        free = ((free + met) | (free - met)) & every
+    return same + len(a) - free.bit_count()
+
+
 def numbered(lines: list[str], whole: bool, page: int | None) -> dict[int, int]:
     """line -> number, of the lines that carry this record's page numbers."""
     visible = [i for i, l in enumerate(lines) if l.strip()]
@@ -219,6 +236,8 @@ class Corpus:
     #: What was read of the rare ones: counts of words and of compounds, and the words and cut words they were read for.
     seldom: tuple[dict[str, int], dict[str, int]] = field(default_factory=lambda: ({}, {}))
     learned: set = field(default_factory=set)
+    #: ``last`` and ``first``, made ready for near matches when first asked for.
+    forms: tuple[Forms, Forms] | None = None
 
     #: Words remembered.
     MOST = 300_000
@@ -240,8 +259,8 @@ class Corpus:
         for content in contents:
             forms.update(self._unknown(content))
             for m in _GOES_ON.finditer(content):
-                if tail := _TAIL.search(content, max(0, m.start() - 80), m.start() + 1):
-                    cut.add((tail.group(1).lower(), m.group(1).lower()))
+                if first := _word_before(content, m.start()):
+                    cut.add((first.lower(), m.group(1).lower()))
         cut -= self.learned
         for first, rest in cut:
             forms.update((first, rest, first + rest))
@@ -252,9 +271,10 @@ class Corpus:
             made = set()
             for word in forms:
                 own = self.seldom[0].get(word, 0)
-                if len(word) <= RARE_LONGEST and self._best(word, own) is None:
+                if self._best(word, own) is None:
+                    begins = self.rare.may_begin_long if len(word) > LONG_WORD else self.rare.may_begin
                     for edits in (1,) if own else (1, 2):
-                        made.update(w for w in self._undone(word, 0, "", edits, rare=True) if self.rare.may_begin(w))
+                        made.update(w for w in self._undone(word, 0, "", edits, begins) if begins(w))
             self.seldom[0].update(self.rare.counts("w", made - self.words.keys()))
             self.learned |= forms
         if cut:
@@ -303,10 +323,10 @@ class Corpus:
                 return best[1]
         return None
 
-    def _undone(self, word: str, at: int, made: str, edits: int, rare: bool = False) -> Iterator[str]:
+    def _undone(self, word: str, at: int, made: str, edits: int, begins: Callable[[str], bool] | None = None) -> Iterator[str]:
         """Each word that undoing ``edits`` misreadings from ``at`` on gives, ``made`` being the text before. Ways that no known
-        word, or with ``rare`` no rare one, begins with are left at once, which loses nothing and makes long words cheap."""
-        begins = self.rare.may_begin if rare else self._begins
+        word, or none that ``begins`` tells of, begins with are left at once, which loses nothing and makes long words cheap."""
+        begins = begins or self._begins
         while at < len(word):
             for read, printed in BY_LETTER.get(word[at], ()):
                 if word.startswith(read, at):
@@ -314,7 +334,7 @@ class Corpus:
                     if edits == 1:
                         yield new + word[on:]
                     elif begins(new):
-                        yield from self._undone(word, on, new, edits - 1, rare)
+                        yield from self._undone(word, on, new, edits - 1, begins)
             made += word[at]
             at += 1
             if not begins(made):
@@ -350,6 +370,11 @@ class RareWords:
         at = zlib.crc32(start.encode("utf-8", "surrogatepass")) & START_BITS - 1
         return bool(self.starts[at >> 3] >> (at & 7) & 1)
 
+    def may_begin_long(self, start: str) -> bool:
+        """False only if no word here begins so that a word of more than ``LONG_WORD`` letters may be a misreading of."""
+        at = START_BITS + (zlib.crc32(start.encode("utf-8", "surrogatepass")) & START_BITS - 1)
+        return bool(self.starts[at >> 3] >> (at & 7) & 1)
+
     def counts(self, kind: str, wanted: set[str]) -> dict[str, int]:
         buckets: dict[int, list[str]] = {}
         for word in wanted:
@@ -372,29 +397,42 @@ class RareWords:
         rows.write.option("parquet.block.row.count.limit", RARE_TOGETHER).partitionBy("bucket").parquet(path)
 
         def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(START_BITS >> 3, np.uint8)
+            bits = np.zeros(START_BITS >> 2, np.uint8)
             for batch in batches:
                 for word in batch.column(0).to_pylist():
-                    for i in range(1, len(word) + 1):
-                        at = zlib.crc32(word[:i].encode("utf-8", "surrogatepass")) & START_BITS - 1
+                    sum_ = 0
+                    for c in word:
+                        sum_ = zlib.crc32(c.encode("utf-8", "surrogatepass"), sum_)
+                        at = sum_ & START_BITS - 1
                         bits[at >> 3] |= 1 << (at & 7)
+                        if len(word) > LONG_WORD - 2:  # two misreadings make a word longer by two letters at most
+                            at += START_BITS
+                            bits[at >> 3] |= 1 << (at & 7)
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-        # Of few tasks, one array of 2 MB each.
+        # Of few tasks, one array of 4 MB each.
         parts = counts.sparkSession.read.parquet(path).where("kind = 'w'").select("word").coalesce(16).mapInArrow(beginnings, "bits binary").toArrow()
-        starts = np.zeros(START_BITS >> 3, np.uint8)
+        starts = np.zeros(START_BITS >> 2, np.uint8)
         for part in parts.column("bits").to_pylist():
             starts |= np.frombuffer(part, np.uint8)
         return cls(path, starts)
 
 
+def _word_before(text: str, end: int) -> str:
+    """The letters and digits that end there."""
+    at = end
+    while at and text[at - 1].isalnum():
+        at -= 1
+    return text[at:end]
+
+
 def _tail(line: str) -> tuple[str, str] | None:
     """(first part of a word, its hyphen) at a line's end."""
     line = line.rstrip()
     if line[-1:] not in HYPHENS or not line:
         return None
-    m = _TAIL.search(line, max(0, len(line) - 80))
-    return (m.group(1), m.group(2)) if m else None
+    first = _word_before(line, len(line) - 1)
+    return (first, line[-1]) if first else None
 
 
 def _head(line: str) -> str:
@@ -448,7 +486,7 @@ def read(content: str, page: int | None, known: list[str], corpus: Corpus, few:
         own[plain(lines[i])] += 1
     for i, _ in edges:
         key = plain(lines[i])
-        if not key or len(key) > 120:
+        if not key:
             continue
         repeats = any(alike(key, k) for k in known) or (few is not None and few.has(key)) or (whole and any(n > 1 and alike(key, k) for k, n in own.items()))
         if repeats or _edge_line(lines[i], corpus):
@@ -459,7 +497,7 @@ def read(content: str, page: int | None, known: list[str], corpus: Corpus, few:
         for i, line in enumerate(lines):
             if i not in furniture and line.strip():
                 first, last = line_form(line)
-                if last in corpus.last or (first in corpus.first and ":" in line) or (len(line) > 8 and plain(line) in titles):
+                if last in corpus.last or (first in corpus.first and ":" in line) or (len(line) > 8 and ((key := plain(line)) in titles or (few is not None and len(key) > LONG_LINE and key in few.lines))):
                     furniture.add(i)
     running = [i for i, l in enumerate(lines) if l.strip() and i not in furniture]
     out = Page(lines, furniture, {}, {}, set())
@@ -514,12 +552,36 @@ def line_form(line: str) -> tuple[str | None, str | None]:
     return first.group(1).lower() if first else None, last
 
 
+class Forms:
+    """Words that lines begin or end with, found by length and by either half, as one character may be misread in the other."""
+
+    def __init__(self, words: frozenset[str]):
+        self.lengths: dict[int, tuple[set[str], dict[str, list[str]], dict[str, list[str]]]] = {}
+        for word in words:
+            whole, left, right = self.lengths.setdefault(len(word), (set(), {}, {}))
+            whole.add(word)
+            left.setdefault(word[: len(word) // 2], []).append(word)
+            right.setdefault(word[len(word) // 2 :], []).append(word)
+
+    def near(self, text: str) -> bool:
+        if len(text) not in self.lengths:
+            return False
+        whole, left, right = self.lengths[len(text)]
+        if text in whole:
+            return True
+        half = len(text) // 2
+        return any(_near(text, w) for w in left.get(text[:half], ())) or any(_near(text, w) for w in right.get(text[half:], ()))
+
+
 def _edge_line(line: str, corpus: Corpus) -> bool:
     """Whether a line begins or ends as lines at page edges do, perhaps with one character misread."""
     text = line.strip().lower()
-    if any(_near(text[-len(w) :], w) for w in corpus.last):
+    if corpus.forms is None:
+        corpus.forms = Forms(corpus.last), Forms(corpus.first)
+    last, first = corpus.forms
+    if any(last.near(text[-n:]) for n in last.lengths):
         return True
-    return any(_near(text[: len(w)], w) and re.match(r".{0,3}[\d:]", text[len(w) :]) for w in corpus.first)
+    return any(first.near(text[:n]) and re.match(r".{0,3}[\d:]", text[n:]) for n in first.lengths)
 
 
 def repaired_text(page: Page, corpus: Corpus) -> str:
@@ -644,15 +706,15 @@ def corpus_of(rows: DataFrame) -> Corpus:
     total = counts.agg(F.sum("n")).first()[0] or 0
     # Words from a share of 1e-6 on are at most a million, whatever the corpus.
     bar = max(KNOWN_LEAST, KNOWN_SHARE * total)
-    form = F.col("kind").isin(*"fl") & (F.col("n") >= max(KNOWN_LEAST, FORM_SHARE * total))
-    kept = counts.where(form | (F.col("kind").isin("w", "c") & (F.col("n") >= bar))).toArrow().to_pydict()
+    # Forms of lines: only those used, each at least so many times at page edges.
+    form = F.col("kind").isin(*"fl") & (F.col("edge") >= EDGE_LEAST) & (F.col("edge") >= EDGE_SHARE * F.col("n"))
+    kept = counts.where(form | (F.col("kind").isin("w", "c") & (F.col("n") >= bar))).select("kind", "word", "n").toArrow().to_pydict()
     others = counts.where((F.col("n") < bar) & (F.col("n") >= KNOWN_LEAST) & F.col("kind").isin("w", "c"))
     rare = RareWords.written(others) if bar > KNOWN_LEAST else None
     words, compounds, forms = {}, {}, {"f": set(), "l": set()}
-    for kind, word, n, e in zip(kept["kind"], kept["word"], kept["n"], kept["edge"]):
+    for kind, word, n in zip(kept["kind"], kept["word"], kept["n"]):
         if kind in forms:
-            if e >= EDGE_LEAST and e >= EDGE_SHARE * n:
-                forms[kind].add(word)
+            forms[kind].add(word)
         else:
             table, word = words if kind == "w" else compounds, word.replace("‐", "-")
             table[word] = table.get(word, 0) + n
@@ -660,33 +722,59 @@ def corpus_of(rows: DataFrame) -> Corpus:
 
 
 class FewLines:
-    """Lines that recur on few pages of a file: found if equal, or alike and with a word in common."""
+    """Lines of a file that are looked up: found if equal or alike.
+
+    Lines of lengths a and b with m letters in common, in order, have at most 1 + a + b - 2m stretches in common, so at least
+    3m - 1 - a - b pairs of letters; alike ones, with 2m >= 0.8 (a + b), at least 0.2 (a + b) - 1. Only those are compared."""
 
     def __init__(self, lines: list[str]):
-        self.lines, self.by_word = set(lines), {}
-        for line in lines:
-            for word in set(line.split()):
-                self.by_word.setdefault(word, []).append(line)
+        self.lines = set(lines)
+        self.ordered = sorted(self.lines, key=len)
+        self.lengths = np.fromiter(map(len, self.ordered), np.int64, len(self.ordered))
+        found: dict[tuple[str, int], list[int]] = {}
+        for i, line in enumerate(self.ordered):
+            for pair in self._pairs(line):
+                found.setdefault(pair, []).append(i)
+        self.by_pair = {pair: np.array(at, np.int32) for pair, at in found.items()}
+
+    @staticmethod
+    def _pairs(line: str) -> set[tuple[str, int]]:
+        """The pairs of letters, numbered where one occurs again."""
+        seen: dict[str, int] = {}
+        out = set()
+        for pair in map("".join, zip(line, line[1:])):
+            seen[pair] = n = seen.get(pair, 0) + 1
+            out.add((pair, n))
+        return out
 
     def has(self, key: str) -> bool:
         if key in self.lines:
             return True
-        # The words of a line from its rarest on: a line as long that shares all but one word shares one of two.
-        words = sorted((w for w in set(key.split()) if w in self.by_word), key=lambda w: len(self.by_word[w]))
-        return any(alike(key, line) for word in words[:2] for line in self.by_word[word])
+        n = len(key)
+        low, high = np.searchsorted(self.lengths, (int(0.8 * n), int(n / 0.8) + 2))
+        if low == high:
+            return False
+        shared = np.zeros(high - low, np.int32)
+        for pair in self._pairs(key):
+            if (at := self.by_pair.get(pair)) is not None:
+                first, end = np.searchsorted(at, (low, high))
+                shared[at[first:end] - low] += 1
+        near = np.flatnonzero(shared >= 0.2 * (n + self.lengths[low:high]) - 1 - 1e-6)
+        return any(alike(key, self.ordered[low + i]) for i in near[np.argsort(-shared[near], kind="stable")])
 
 
 class FileLines:
     """``FewLines`` by file, read from the shared file system when a file first comes up."""
 
-    MOST = 64
+    #: Files and lines held, besides one file.
+    MOST, MOST_LINES = 64, 100_000
 
     def __init__(self, path: str):
         self.path, self.held = path, {}
 
     def of(self, file: str) -> FewLines | None:
         if file not in self.held:
-            if len(self.held) >= self.MOST:
+            if len(self.held) >= self.MOST or sum(len(few.lines) for few in self.held.values() if few) > self.MOST_LINES:
                 self.held.clear()
             lines = []
             bucket = zlib.crc32(file.encode()) % RARE_BUCKETS
@@ -707,9 +795,9 @@ class FileLines:
 
 
 def file_furniture(rows: DataFrame) -> tuple[DataFrame, FileLines | None]:
-    """(file, known): the edge lines that recur under different page numbers and on at least ``FILE_SHARE`` of a file's
-    pages, which bounds them by 4 / FILE_SHARE a file; and those that recur on fewer pages of large files. Counted per line
-    before the lines of a file come together."""
+    """(file, known, few): the edge lines that recur under different page numbers and on at least ``FILE_SHARE`` of a file's
+    pages, which bounds them by 4 / FILE_SHARE a file; and long ones and those that recur on fewer pages of large files, to be
+    looked up where a file has some (few). Counted per line before the lines of a file come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -722,7 +810,7 @@ def file_furniture(rows: DataFrame) -> tuple[DataFrame, FileLines | None]:
                         seen.add(p)
                         out.append((file, "", number, False))
                     if text := plain(lines[i]):
-                        out.append((file, text[:120], number, lines[i].rstrip().endswith(_SENTENCE_ENDS)))
+                        out.append((file, text, number, lines[i].rstrip().endswith(_SENTENCE_ENDS)))
             yield _batch(out, ["file", "line", "page", "stop"], [batch.schema.field(0).type, pa.string(), pa.int32(), pa.bool_()])
 
     kind = rows.schema["file"].dataType.simpleString()
@@ -733,9 +821,10 @@ def file_furniture(rows: DataFrame) -> tuple[DataFrame, FileLines | None]:
     pages = lines.where("line = ''").select("file", F.col("n").alias("pages"))
     both = lines.where("line <> ''").join(pages, "file")
     often = F.col("n") >= F.col("pages") * FILE_SHARE
-    known = both.where(often).groupBy("file").agg(F.sort_array(F.collect_list("line")).alias("known"))
-    few = both.where(~often & ~F.col("stop") & (F.col("n") >= F.greatest(F.lit(FEW_PAGES), F.col("pages") * FEW_SHARE)))
-    return known, FileLines.written(few.select("file", "line"))
+    short = F.length("line") <= LONG_LINE
+    few = (often & ~short) | (~often & ~F.col("stop") & (F.col("n") >= FEW_PAGES))
+    known = both.groupBy("file").agg(F.sort_array(F.collect_list(F.when(often & short, F.col("line")))).alias("known"), F.max(few).alias("few"))
+    return known.where("few or size(known) > 0"), FileLines.written(both.where(few).select("file", "line"))
 
 
 def pdf_rows(records: DataFrame, key: str) -> DataFrame:
@@ -749,7 +838,7 @@ def _read_all(rows: DataFrame, work, schema: str) -> DataFrame:
     corpus = rows.sparkSession.sparkContext.broadcast(corpus_of(rows))
     known, few = file_furniture(rows)
     known = materialise(known, "furniture")
-    pages = rows.where("pdf").join(known, "file", "left").select("key", "content", "page", "known", "file")
+    pages = rows.where("pdf").join(known, "file", "left").select("key", "content", "page", "known", F.when(F.col("few"), F.col("file")).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -771,7 +860,7 @@ def found_lines(records: DataFrame, key: str) -> DataFrame:
         for k, content, page, known, file in rows_:
             if not content or content.isspace():
                 continue
-            found = read(content, page, known or [], corpus, few and few.of(file))
+            found = read(content, page, known or [], corpus, few and file and few.of(file))
             for name, lines in (("furniture", found.furniture), ("split", found.split), ("misread", found.misread)):
                 out += [(k, i + 1, name) for i in sorted(lines)]
         return _batch(out, ["key", "line_no", "kind"], [kind, pa.int32(), pa.string()])
@@ -787,7 +876,7 @@ def paragraphs(records: DataFrame, key: str) -> DataFrame:
         out = []
         for k, content, page, known, file in rows_:
             blank = not content or content.isspace()
-            out.append((k, content if blank else repaired_text(read(content, page, known or [], corpus, few and few.of(file)), corpus)))
+            out.append((k, content if blank else repaired_text(read(content, page, known or [], corpus, few and file and few.of(file)), corpus)))
         return _batch(out, ["key", "text"], [kind, pa.string()])
 
     done = _read_all(rows, work, f"key {rows.schema['key'].dataType.simpleString()}, text string")

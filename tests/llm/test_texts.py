@@ -137,6 +137,90 @@ def test_headers_of_a_chapter_in_a_large_file(spark):
     assert got == truth
 
 
+def test_alike_lines_are_found_as_by_comparing_all():
+    rng = random.Random(8)
+    letters = "aeinrst "
+
+    def edited(line):
+        for _ in range(rng.randint(0, len(line) // 4)):
+            at = rng.randrange(len(line))
+            line = rng.choice((line[:at] + line[at + 1 :], line[:at] + rng.choice(letters) + line[at:], line[:at] + rng.choice(letters) + line[at + 1 :]))
+        return line.strip()
+
+    lines = ["".join(rng.choice(letters) for _ in range(rng.choice((4, 9, 20, 40, 140)))).strip() for _ in range(120)]
+    few, found = pages.FewLines(lines), 0
+    for line in lines * 6:
+        key = edited(line)
+        want = any(pages.alike(key, l) for l in few.lines)
+        assert few.has(key) == want
+        found += want
+    assert 200 < found < 700
+    assert pages.FewLines(["seals gaskets"]).has("scals gaskcts")  # no word in common
+
+
+def test_lines_of_any_length_are_compared():
+    header = "the annual collection of service instructions for boilers turbines and pumps " * 3
+    assert pages.alike(header, header.replace("service", "scrvice")) and not pages.alike(header, header[::-1])
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next_row(row, x, b)
+        assert pages.in_common(a, b) == row[-1]
+
+
+def _next_row(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
+    return out
+
+
+def test_long_headers(spark):
+    rng = random.Random(13)
+    title = " ".join(rng.choice(WORDS) for _ in range(22))
+    rows = [(p, 1, "\n".join([title if p != 3 else title.replace("e", "c", 2), *(" ".join(rng.choice(WORDS) for _ in range(7)) + "." for _ in range(6))]), pages.PDF, p) for p in range(1, 7)]
+    assert len(title) > 150
+    got = {(r.key, r.line_no) for r in pages.found_lines(page_table(spark, rows), "rec_no").where("kind = 'furniture'").collect()}
+    assert got == {(p, 1) for p in range(1, 7)}
+
+
+def test_lines_that_recur_on_few_of_very_many_pages(spark):
+    # Unlike bodies, so that only the header recurs: on 8 of 60,000 pages.
+    body = F.translate(F.md5(F.col("id").cast("string")), "0123456789", "ghijklmnop")
+    text = F.when(F.col("id") % 7000 == 3, F.concat(F.lit("Chapter on seals\n"), body)).otherwise(body)
+    rows = spark.range(60_000).select(F.lit("f1").alias("file"), text.alias("content"), F.col("id").cast("int").alias("page"), F.lit(True).alias("pdf"))
+    known, few = pages.file_furniture(rows)
+    assert [(r.known, r.few) for r in known.collect()] == [([], True)] and few.of("f1").lines == {"chapter on seals"}
+
+
+def test_forms_of_headers_count_whatever_the_number_of_words(spark):
+    rows = [(i, i, "Some words zwieback\nbody text goes on here.\nmore of it.\nand an end.", pages.PDF, 1) for i in range(9)]
+    rows += [(100 + i, 100 + i, "a " * 1_000_000, "text", None) for i in range(12)]
+    corpus = pages.corpus_of(pages.pdf_rows(page_table(spark, rows), "rec_no"))
+    assert "zwieback" in corpus.last
+    assert pages._edge_line("Other zwicback", corpus) and not pages._edge_line("Other zwicbock", corpus)
+
+
+def test_long_rare_words_are_repaired(spark, monkeypatch):
+    monkeypatch.setattr(pages, "KNOWN_SHARE", 0.2)  # most words are read from files
+    long = "betriebskostenabrechnungsunterlagenverzeichnisse" * 2
+    seen = long.replace("t", "f", 1)[:-3] + "ssc"
+    rows = [(i, i, f"the {long} the the the the\nmore here.", pages.PDF, None) for i in range(6)] + [(9, 9, f"the {seen} the.", pages.PDF, None)]
+    got = {(r.key, r.line_no) for r in pages.found_lines(page_table(spark, rows), "rec_no").where("kind = 'misread'").collect()}
+    assert got == {(9, 1)}
+
+
+def test_a_long_word_is_cut_at_the_end_of_a_line():
+    long = "x" * 200
+    assert pages._tail(f"and {long}-  ") == (long, "-") and pages._tail(" -") is None and pages._tail("") is None
+
+
+def test_page_numbers_in_long_lines():
+    assert pages.page_number("12 | " + "a title that goes on " * 8) == ("bar", 12)
+
+
 def test_no_pages(spark):
     df = page_table(spark, [(1, 1, "x", "text", None)])
     assert pages.found_lines(df.where("false"), "rec_no").count() == 0
